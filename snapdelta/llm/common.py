@@ -97,3 +97,15 @@ def trigrams(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     code *= np.uint64(0xBF58476D1CE4E5B9)
     code ^= code >> np.uint64(32)
     return (code % np.uint64(size)).astype(np.int64), np.maximum(lengths - 2, 1)
+
+
+def words(text: str) -> list[str]:
+    """The text's words in lower case."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of words() begin and end in the text."""
+    low = text.lower()
+    return [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
