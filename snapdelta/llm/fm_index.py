@@ -87,6 +87,8 @@ class FMIndex:
     """seq: numbers below symbols, 0 parts the stretches that are searched."""
 
     def __init__(self, seq: np.ndarray, symbols: int, rate: int = SAMPLE_RATE):
+        if not len(seq) or seq[-1]:  # the last suffix must end in a zero of its own
+            seq = np.append(seq, 0)
         order = suffix_array(seq)
         before = np.where(order > 0, seq[order - 1], 0)
         self.size, self.symbols = len(seq), symbols
