@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op5_decontamination
 from .language_id import op6_language_id
 from .minhash import op7_minhash
+from .mixing import op4_mixing
+from .sharding import op9_sharding
 from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_minhash": op7_minhash,
+    "op9_sharding": op9_sharding,
 }
 
 #: DuckDB SQL, for those that SQL can express.
