@@ -12,9 +12,11 @@ from .minhash import op7_minhash
 from .mixing import op4_mixing
 from .sharding import op9_sharding
 from .token_counts import op1_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
