@@ -10,6 +10,7 @@ from .decontamination import op5_decontamination
 from .language_id import op6_language_id
 from .minhash import op7_minhash
 from .mixing import op4_mixing
+from .pii import op3_pii
 from .sharding import op9_sharding
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
@@ -17,6 +18,7 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
