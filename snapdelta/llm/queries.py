@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_decontamination
+from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .language_id import op6_language_id
 from .minhash import op7_minhash
 from .mixing import op4_mixing
@@ -14,6 +15,7 @@ from .pii import op3_pii
 from .sharding import op9_sharding
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
+from .url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
@@ -23,8 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_minhash": op7_minhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: DuckDB SQL, for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_embedding_dedup": OP8_SQL}
