@@ -44,7 +44,6 @@ def plain(html: str) -> str:
     return re.sub(r"[ \t\n\f\r]+", " ", "".join(parser.parts)).strip(" ")
 
 
-@F.pandas_udf("string")
 def _plain(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in values:
         yield series.map(plain, na_action="ignore")
@@ -52,7 +51,7 @@ def _plain(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def html_text(c: Column) -> Column:
     """Tags removed, entities resolved; the one text function that needs Python."""
-    return _plain(c)
+    return F.pandas_udf(_plain, "string")(c)
 
 
 def comment_marks_removed(c: Column) -> Column:

@@ -11,7 +11,7 @@ from ..model import Snapshot, is_base, package_path
 from .hierarchy import base_of
 
 PALETTE = "f0fffa f0fffd f9fff0 f0f1ff fff0ff f0f8ff f0ffff fffaf0 f5f5dc f8f4ff f5f5dc f8f8ff f8f8f9 e7e8ee fdecd5".split()
-DEFAULT_COLOR = "#f6f8fa"
+DEFAULT_COLOR = "#E0E0E0"
 
 
 def changed_bases(merged: Snapshot, changes: DataFrame, files: Iterable[str] = ()) -> DataFrame:

@@ -1,10 +1,152 @@
-"""Catalogue of the engine's queries and their SQL."""
+"""Catalogue of the engine's queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .functions import codec, text
+from .operators import hierarchy, merge, relations, select
+from .oracle import ORACLE
+from .plans import output, render
+from .plans.config import Config, Placement, light_scheme
+from .plans.diff import Diff, Model
+from .plans.plugins import Augmenter, Plugins
+from .sources import files, tables
+
+__all__ = ["ORACLE", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+EDGE = ("source", "target", "association", "strength")
+FILTER = ("/Brand#11/P1.java", "/Brand#12/P12.java")
+
+
+def _diff(f: Callable[[Diff], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Diff(*tables.snapshots(spark, sf_dir)))
+
+
+def _model(f: Callable[[Model], DataFrame], plugins: Plugins | None = None) -> Query:
+    return lambda spark, sf_dir: f(Model(Diff(*tables.snapshots(spark, sf_dir)), plugins=plugins))
+
+
+def _text(f: Callable) -> Query:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", f(F.col("text")).alias("text"))
+
+
+def _changed(kind: str) -> Query:
+    return _diff(lambda d: d.component_changes.where(F.col("change") == kind).select("unique_name", "component_type"))
+
+
+def _relations_changed(kind: str) -> Query:
+    return _diff(lambda d: d.relation_changes.where(F.col("change") == kind).select(*EDGE))
+
+
+def _of_least(d: Diff) -> DataFrame:
+    bases = hierarchy.nodes(d.new).where("component_type in ('CLASS', 'INTERFACE', 'STRUCT')")
+    least = bases.agg(F.min("unique_name").alias("source"))
+    return d.new_relations.join(F.broadcast(least), "source").select(*EDGE)  # one row
+
+
+def _mutual(d: Diff) -> DataFrame:
+    both = relations.with_reverse(relations.strongest(d.new_relations))
+    return both.where("reverse_association <> 'NONE'").select("source", "target", "association", "reverse_association")
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = tables.parts(spark, sf_dir).agg(F.min("source_file"), F.max("source_file")).first()
+    return Model(Diff(*tables.snapshots(spark, sf_dir)), {*FILTER, *filter(None, ends)}).names
+
+
+def _summary(m: Model) -> DataFrame:
+    return output.diagram_summary(m, Config(placement=Placement.ONE_PER_GROUP))
+
+
+def _headers(m: Model) -> DataFrame:
+    many = merge.existing_children(m.diff.merged).groupBy(F.col("parent").alias("unique_name")).agg(F.count(F.lit(1)).alias("n"))
+    rows = select.node_flags(m.nodes, m.diff.component_changes).join(many, "unique_name", "left")
+    return rows.select("unique_name", render.class_header(light_scheme()).alias("header"))
+
+
+def _children(m: Model) -> DataFrame:
+    return render.child_lines(m.diff.merged, m.nodes, m.diff.component_changes, light_scheme()).select("parent", "child", "is_field", "line")
+
+
+class _Interfaces(Augmenter):
+    """Adds all interfaces, and notes every node's type."""
+
+    def augment(self, diff: Diff, names: DataFrame) -> DataFrame:
+        more = diff.merged.components.where("component_type = 'INTERFACE'").select("unique_name")
+        return names.union(more)
+
+    def metadata(self, nodes: DataFrame):
+        return F.create_map(F.lit("type"), F.lower("component_type"))
+
+
+def _files_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = spark.createDataFrame([("/a.java", "")], files.FILE_SCHEMA)
+    wanted = spark.createDataFrame([("/a.java",), ("/gone.java",)], "path string")
+    return files.missing_files(wanted, old, old)
+
+
+def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parse(path: str, content: str) -> list[dict]:
+        if "!" in content:
+            raise ValueError("not a source file")
+        return []
+
+    rows = spark.createDataFrame([("/bad.java", "class !"), ("/good.java", "class A")], files.FILE_SCHEMA)
+    read = files.parsed(rows, parse)
+    return files.warnings(files.failures(read, read))
+
+
+QUERIES: dict[str, Query] = {
+    "component_change_summary": _diff(lambda d: d.component_changes.groupBy("change", "component_type").agg(F.count(F.lit(1)).alias("n"))),
+    **{f"components_{c}": _changed(c) for c in ("added", "deleted", "modified")},
+    "base_of_component": _diff(lambda d: hierarchy.base_of(d.merged)),
+    "relations_all": _diff(lambda d: d.new_relations.select(*EDGE)),
+    "relations_specialization": _diff(lambda d: relations.of_type(d.new_relations, "SPECIALIZATION").select(*EDGE)),
+    "relations_realization": _diff(lambda d: relations.of_type(d.new_relations, "REALIZATION").select(*EDGE)),
+    "relations_association": _diff(lambda d: d.new_relations.where("association not in ('SPECIALIZATION', 'REALIZATION', 'NONE')").select(*EDGE)),
+    "relations_strongest": _diff(lambda d: relations.strongest(d.new_relations).select(*EDGE)),
+    "relations_of_component": _diff(_of_least),
+    "relations_mutual": _diff(_mutual),
+    "relations_added": _relations_changed("added"),
+    "relations_deleted": _relations_changed("deleted"),
+    "relations_changed_strictly": lambda spark, sf_dir: Diff(*tables.snapshots(spark, sf_dir), strict_types=True).relation_changes.select(*EDGE, "change"),
+    "key_relation_components": _diff(lambda d: d.changes.where("change = 'key_relation'").select("unique_name")),
+    "change_counts": _diff(lambda d: d.change_counts()),
+    "merged_components": _diff(lambda d: d.merged.components.select("unique_name", "component_type", "parent_name", "source_file", "code_hash")),
+    "merged_children": _diff(lambda d: merge.existing_children(d.merged).select("parent", "child")),
+    "merged_relations": _diff(lambda d: d.merged_relations.select(*EDGE)),
+    "diagram_nodes": _model(lambda m: m.nodes.select("unique_name", "component_type", "package_path")),
+    "diagram_nodes_filtered": _filtered,
+    "diagram_edges": _model(lambda m: m.edges.select(*EDGE)),
+    "edge_change_flags": _model(lambda m: select.edge_flags(m.edges.select(*EDGE), m.diff.relation_changes)),
+    "node_change_flags": _model(lambda m: select.node_flags(m.nodes, m.diff.component_changes).select("unique_name", "change")),
+    "package_groups": _model(lambda m: select.groups(m.nodes).withColumn("members", F.array_join("members", ","))),
+    "package_colors": _model(lambda m: m.colors),
+    "diagram_summary": _model(_summary),
+    "class_children_display": _model(_children),
+    "class_headers": _model(_headers),
+    "diagram_ids": _model(lambda m: m.nodes.select("unique_name", text.qualified_id(F.col("package_path"), F.col("unique_name")).alias("id"))),
+    "edge_lines": _model(lambda m: render.edge_lines(m.drawn, m.nodes, m.diff.relation_changes, light_scheme())),
+    "class_blocks": _model(lambda m: render.class_blocks(m, light_scheme())),
+    "component_json": _model(lambda m: output.component_json(m.nodes, m.diff.merged.refs)),
+    "relation_json": _model(lambda m: output.relation_json(m.edges)),
+    "diagram_json": _model(lambda m: output.diagrams(m)),
+    "diagram_text": lambda spark, sf_dir: render.document(Model(Diff(*tables.snapshots(spark, sf_dir)), FILTER), light_scheme()),
+    "augmented_nodes": _model(lambda m: m.nodes.select("unique_name", F.element_at("augmentations", "type").alias("note")), Plugins(augmenters=(_Interfaces(),))),
+    "files_filter_missing": _files_missing,
+    "compile_warnings": _warnings,
+    "text_comment_stripped": _text(lambda c: text.comment_marks_removed(F.concat(F.lit("/** "), c, F.lit(" */")))),
+    "text_brackets": _text(text.brackets),
+    "text_normalized": _text(text.normalized),
+    "text_wrapped": _text(lambda c: text.wrapped(text.normalized(c))),
+    "text_bolded": _text(lambda c: text.bold_lines(text.wrapped(text.normalized(c)))),
+    "text_truncated": _text(text.shortened),
+    "compressed_text": _text(lambda c: codec.decompressed(codec.compressed(c))),
+    "text_html_stripped": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.html_text(F.col("html")).alias("text")),
+    "doc_text": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.documentation(F.col("html")).alias("text")),
+}
