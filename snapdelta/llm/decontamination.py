@@ -188,4 +188,25 @@ def _without(batch: pa.RecordBatch, column: int, spans: dict[int, list[Span]]) -
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    """The spans of all documents; items as text, joined by commas."""
+    found = contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+_WORDS = r"'[\p{L}\p{N}_]+'"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), {_WORDS}) AS w, regexp_split_to_array(lower(text), {_WORDS}) AS s FROM documents),
+b AS (SELECT item_id, w, least({PHRASE}, len(w)) AS size FROM (SELECT item_id, regexp_extract_all(lower(text), {_WORDS}) AS w FROM benchmark) WHERE len(w) >= {MIN_WORDS}),
+phrases AS (SELECT DISTINCT item_id, size, array_to_string(w[j : j + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS j FROM b)),
+grams AS (SELECT doc_id, size, j, array_to_string(w[j : j + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS j FROM d, (SELECT DISTINCT size FROM phrases) WHERE len(w) >= size)),
+hits AS (SELECT doc_id, j AS first, j + size AS past, item_id FROM grams JOIN phrases USING (size, phrase)),
+cut AS (SELECT *, CASE WHEN first <= max(past) OVER (PARTITION BY doc_id ORDER BY first, past, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY first, past, item_id ROWS UNBOUNDED PRECEDING) AS run FROM cut),
+spans AS (SELECT doc_id, min(first) AS first, max(past) AS past, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM runs GROUP BY doc_id, run),
+places AS (
+  SELECT doc_id, i, sum(len(gap) + len(word)) OVER (PARTITION BY doc_id ORDER BY i) AS past, len(word) AS size
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(s[1 : len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM spans)))
+SELECT n.doc_id, CAST(a.past - a.size AS BIGINT) AS start, CAST(z.past AS BIGINT) AS "end", n.past - n.first AS n_words, n.items
+FROM spans n JOIN places a ON a.doc_id = n.doc_id AND a.i = n.first JOIN places z ON z.doc_id = n.doc_id AND z.i = n.past - 1
+"""

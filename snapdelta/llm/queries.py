@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontamination import op5_decontamination
+from .decontamination import OP5_SQL, op5_decontamination
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .language_id import op6_language_id
 from .minhash import op7_minhash
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL, for those that SQL can express.
-ORACLE: dict[str, str] = {"op8_embedding_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_embedding_dedup": OP8_SQL}
