@@ -189,11 +189,11 @@ def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     members = common.checkpoint(_memberships(docs, threshold))
     groups = _kept(members)
     in_groups = members.join(groups, "root").selectExpr("node n_", "doc_id <=> keep_id and node = keep_node as kept_", "doc_id d_").distinct()
-    rows = docs.withColumn("n_", F.when(F.col("text").isNotNull(), _node())).withColumn("d_", F.col("doc_id").cast("bigint"))
+    rows = docs.select(F.struct("*").alias("row_"), F.when(F.col("text").isNotNull(), _node()).alias("n_"), F.col("doc_id").cast("bigint").alias("d_"))
     joined = rows.alias("l").join(in_groups.alias("r"), (F.col("l.n_") == F.col("r.n_")) & F.col("l.d_").eqNullSafe(F.col("r.d_")), "left")
     nth = F.row_number().over(Window.partitionBy("l.n_", "l.d_").orderBy(F.lit(1)))
     passing = joined.withColumn("i_", F.when(F.col("r.kept_"), nth)).where("r.kept_ is null or (r.kept_ and i_ = 1)")
-    return passing.select(*(F.col(f"l.`{c}`") for c in docs.columns))
+    return passing.select("l.row_.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

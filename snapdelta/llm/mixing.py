@@ -76,14 +76,15 @@ def emitted(slots: list[int], period: int, upto: int) -> int:
     return upto // period * len(slots) + bisect_left(slots, upto % period)
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, alpha: float = ALPHA, bucket_rows: int = 20_000) -> DataFrame:
-    """The rows of docs, repeated as their sources' epochs ask, with slot__, epoch__, block__ and offset__ (its place in the source, in characters)."""
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, block_chars: int, alpha: float, bucket_rows: int = 20_000) -> DataFrame:
+    """(row__, slot__, epoch__, block__, offset__): the rows of docs as structs, each as often as it is emitted."""
     spark = docs.sparkSession
     chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.length(F.col("text").cast("string")).cast("bigint")
-    rows = docs.withColumn("s__", F.coalesce(F.col("source").cast("string"), F.lit(NONE))).withColumn("c__", F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1)
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
+    rows = docs.select(F.struct("*").alias("row__"), F.col("doc_id").alias("id__"), source.alias("s__"), (F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1).alias("c__"))
     sizes = {r["s__"]: (r["n"], r["c"]) for r in rows.groupBy("s__").agg(F.sum("c__").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return docs.selectExpr("*", "0L slot__", "0L epoch__", "0L block__", "0L offset__")
+        return rows.selectExpr("row__", "0L slot__", "0L epoch__", "0L block__", "0L offset__")
     if weights is None:
         given = {k: c**alpha for k, (_, c) in sizes.items()}
     else:
@@ -99,23 +100,29 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
 
     end = max(slot(k, n - 1) for k, n in blocks.items()) + 1
     plan = spark.createDataFrame([(k, blocks[k], emitted(slots[k], period, end), len(slots[k]), slots[k]) for k in sorted(slots)], "s__ string, n__ bigint, e__ bigint, a__ bigint, t__ array<int>")
-    placed = running_total(rows, ["s__"], F.xxhash64("doc_id", "s__"), ["doc_id", "c__"], "c__", "offset__", sum(n for n, _ in sizes.values()), bucket_rows)
+    placed = running_total(rows, ["s__"], F.xxhash64("id__", "s__"), ["id__", "c__"], "c__", "offset__", sum(n for n, _ in sizes.values()), bucket_rows)
     placed = placed.withColumn("block__", F.floor(F.col("offset__") / block_chars).cast("bigint")).join(F.broadcast(plan), "s__")
     epochs = F.floor((F.col("e__") - 1 - F.col("block__")) / F.col("n__")).cast("bigint")
     each = placed.withColumn("epoch__", F.explode(F.sequence(F.lit(0).cast("bigint"), epochs))).withColumn("j__", F.col("block__") + F.col("epoch__") * F.col("n__"))
     when = F.floor(F.col("j__") / F.col("a__")) * period + F.element_at("t__", (F.col("j__") % F.col("a__") + 1).cast("int"))
-    return each.withColumn("slot__", when.cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns), "slot__", "epoch__", "block__", "offset__")
+    return each.select("row__", when.cast("bigint").alias("slot__"), "epoch__", "block__", "offset__")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, alpha: float = ALPHA, bucket_rows: int = 20_000) -> DataFrame:
+    """The rows of docs, repeated as their sources' epochs ask, with slot__, epoch__, block__ and offset__ (its place in the source, in characters), which take the place of columns of these names."""
+    own = ("slot__", "epoch__", "block__", "offset__")
+    return _mixed(docs, weights, block_chars, alpha, bucket_rows).select(*(F.col(f"row__.`{c}`") for c in docs.columns if c.lower() not in own), *own)
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, alpha: float = ALPHA) -> DataFrame:
     """The documents in the order of the mix: partitions hold ranges of slots, in order, and rows within them are sorted."""
-    mixed = mix(docs, weights, block_chars, alpha)
+    mixed = _mixed(docs, weights, block_chars, alpha)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = mixed.agg(F.max("slot__")).first()[0]
     if last is None:
         return docs
     target = F.floor(F.col("slot__") * n / F.lit(last + 1)).cast("int")
-    return mixed.repartitionById(n, target).sortWithinPartitions("slot__", "epoch__", "offset__").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixed.repartitionById(n, target).sortWithinPartitions("slot__", "epoch__", "offset__").select("row__.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

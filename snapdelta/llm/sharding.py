@@ -122,8 +122,8 @@ def sharding(docs: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS,
 def sharded_documents(docs: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """The documents with all their columns and their shard."""
     shards = sharding(docs, n_shards, rounds, slack).toDF("node__", "shard__")
-    rows = docs.withColumn("node__", _id()).join(shards, "node__")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"), F.col("shard__").alias("shard"))
+    rows = docs.select(F.struct("*").alias("row__"), _id().alias("node__")).join(shards, "node__")
+    return rows.select(*(F.col(f"row__.`{c}`") for c in docs.columns if c.lower() != "shard"), F.col("shard__").alias("shard"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
