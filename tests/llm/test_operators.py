@@ -1,0 +1,342 @@
+"""Each operator against a brute-force version, an exact round trip, or held-out accuracy."""
+
+import heapq
+import itertools
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+from snapdelta.llm import common, decontamination, embedding_dedup, fm_index, graph, language_id, minhash, mixing, pii, sharding, token_counts, toxicity, url_filter
+from snapdelta.llm.queries import ORACLE, QUERIES
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def text(rng, n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+def docs_of(spark, texts, **columns):
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return common.read(spark, sf_dir, "documents")
+
+
+@pytest.fixture(scope="module")
+def local(documents):
+    return documents.toPandas()
+
+
+def test_token_counts(spark):
+    scores = {"▁": -5, "▁a": -3, "a": -4, "b": -4, "ab": -5, "▁ab": -6, "ba": -5, "bab": -9}
+    byte = token_counts.Pieces(scores).byte
+
+    def best(word):
+        found = {0: (0, 0)}
+        whole = token_counts.MARK + word
+        for end in range(1, len(whole) + 1):
+            ways = [(found[s][0] + scores[whole[s:end]], -(-found[s][1] + 1)) for s in range(end) if whole[s:end] in scores]
+            size = len(whole[end - 1].encode())
+            single = (found[end - 1][0] + byte * size, found[end - 1][1] + size)
+            top = max(((s, -n) for s, n in ((found[s][0] + scores[whole[s:end]], found[s][1] + 1) for s in range(end) if whole[s:end] in scores)), default=None)
+            found[end] = single if top is None or single[0] > top[0] else (top[0], -top[1])
+            del ways
+        return found[len(whole)][1]
+
+    for nodes in (400_000, 3):
+        trie = token_counts.PreTokenTrie(token_counts.Pieces(scores), nodes)
+        for n in range(1, 8):
+            for word in map("".join, itertools.product("abé", repeat=n)) if n < 6 else ["abababa", "bbaabba"]:
+                assert trie[word] == best(word), word
+    trie = token_counts.PreTokenTrie(token_counts.Pieces(scores))
+    trie["abab"], trie["abaa"]
+    assert trie.computed == 6  # the prefix ▁aba is computed once
+    got = token_counts.token_counts(docs_of(spark, ["a b", None, "  "])).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_tokens is None) for r in got] == [(2, False), (None, True), (0, False)]
+
+
+def test_toxicity(local, sf_dir):
+    import pandas as pd
+
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    rows = pd.read_parquet(f"{big}/labels.parquet").merge(pd.read_parquet(f"{big}/documents.parquet"), on="doc_id")
+    train, held = rows[rows.doc_id % 4 != 0], rows[rows.doc_id % 4 == 0]
+    net = toxicity.train(zip(train.text, train.toxic.astype(int), strict=True))
+    score = np.array([s[0] or 0 for s in toxicity.Scorer(net).scores(held.text.tolist())])
+    toxic = held.toxic.values == 1
+    assert (score >= toxicity.THRESHOLD)[toxic].mean() > 0.85
+    assert (score >= toxicity.THRESHOLD)[~toxic].mean() < 0.08
+
+
+def test_toxicity_windows_and_gradients():
+    for n in range(0, 300):
+        covered = {w for s in toxicity.windows(n) for w in range(s, min(n, s + toxicity.WINDOW))}
+        assert covered == set(range(n))
+    net = toxicity.Network(3)
+    rng = np.random.default_rng(0)
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    inputs = rng.normal(size=(5, toxicity.WORD_DIM + toxicity.CHAR_DIM))
+    place, labels = np.array([[0, 1], [2, 3], [4, 0]]), np.array([1, 0])
+    mask = np.ones_like(place, dtype=bool)
+
+    def loss():
+        p = toxicity.sigmoid(net.run(net.gates(inputs), place, mask)[0])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    g, _ = net.gradients(inputs, place, mask, labels)
+    for name, at in (("uf", (0, 3)), ("ub", (2, 17)), ("wf", (1, 1)), ("att", (0, 1)), ("att_v", (2,)), ("out", (3,))):
+        net.p[name][at] += 1e-2
+        up = loss()
+        net.p[name][at] -= 2e-2
+        down = loss()
+        net.p[name][at] += 1e-2
+        assert abs((up - down) / 2e-2 - g[name][at]) < 2e-3, name
+
+
+def test_pii(local):
+    field = pii.train()
+    decoder = pii.Decoder(field)
+
+    def whole(cut):
+        """Viterbi over all tokens."""
+        e = np.array([sum(field.scores(pii.shape(cut[i + d]) if 0 <= i + d < len(cut) else ())[j] for j, d in ((0, 0), (1, -1), (2, 1))) for i in range(len(cut))])
+        score, back = e[0] + field.begin, []
+        for row in e[1:]:
+            x = score[:, None] + field.step
+            back.append(x.argmax(axis=0))
+            score = x.max(axis=0) + row
+        label = [int((score + field.end).argmax())]
+        for b in reversed(back):
+            label.append(int(b[label[-1]]))
+        return label[::-1]
+
+    texts = [t for t, _ in pii.labelled_table(40, seed=5)] + local.text.str[:600].tolist()[:40]
+    cuts = [pii.TOKEN.findall(t) for t in texts]
+    assert [list(x) for x in decoder.decode(cuts)] == [whole(c) for c in cuts]
+    held = pii.labelled_table(300, seed=99)
+    found = [set(pii.spans(t, d)) for (t, _), d in zip(held, decoder.decode([pii.TOKEN.findall(t) for t, _ in held]), strict=True)]
+    gold = [set(s) for _, s in held]
+    right = sum(len(f & g) for f, g in zip(found, gold, strict=True))
+    assert right / sum(map(len, gold)) > 0.95 and right / sum(map(len, found)) > 0.95
+    for pattern, kind in ((r"[\w.]+@[\w.]+\.com", "email"), (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "ip"), (r"\b4\d{15}\b", "card")):
+        for t in local.text:
+            want = {m.span() for m in re.finditer(pattern, t)}
+            if want:
+                got = {s[:2] for s in pii.spans(t, decoder.decode([pii.TOKEN.findall(t)])[0]) if s[2] == kind}
+                assert want <= got, (kind, want, got)
+
+
+def test_schedule_meets_deadlines():
+    for share in ({"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, mixing.parts({f"s{i}": (i + 1) ** 1.5 for i in range(9)}, 997)):
+        period, slots = sum(share.values()), mixing.schedule(share)
+        assert sorted(itertools.chain(*slots.values())) == list(range(period))
+        for k, a in share.items():
+            assert all(j * period // a <= s < -(-(j + 1) * period // a) for j, s in enumerate(slots[k]))
+            for upto in range(period + 1):
+                assert abs(sum(s < upto for s in slots[k]) - upto * a / period) < 1
+
+
+def test_mixing(spark, documents, local):
+    weights = {f"src{i}": i + 1.0 for i in range(20)}
+    got = mixing.mix(documents, weights, block_chars=4000).toPandas()
+    assert set(got.doc_id) == set(local.doc_id)
+    sizes = {k: g.n_chars.sum() + len(g) for k, g in local.groupby("source")}
+    share = mixing.parts(weights, mixing.PERIOD)
+    slots = mixing.schedule(share)
+    blocks = {k: -(-int(n) // 4000) for k, n in sizes.items()}
+    queue = [(slots[k][0], k, 0) for k in blocks]
+    heapq.heapify(queue)
+    left, want = {k: n for k, n in blocks.items()}, {}
+    while any(v > 0 for v in left.values()):
+        slot, k, j = heapq.heappop(queue)
+        want[k, j] = slot
+        left[k] -= 1
+        j += 1
+        heapq.heappush(queue, (j // len(slots[k]) * mixing.PERIOD + slots[k][j % len(slots[k])], k, j))
+    for r in got.itertuples():
+        assert want[r.source, r.block__ + r.epoch__ * blocks[r.source]] == r.slot__
+        assert r.block__ == r.offset__ // 4000
+    for k, g in got[got.epoch__ == 0].groupby("source"):
+        g = g.sort_values("offset__")
+        assert (g.offset__.values == np.concatenate([[0], np.cumsum(g.n_chars + 1)[:-1]])).all(), k
+    again = mixing.mix(documents, weights, block_chars=4000, bucket_rows=7).toPandas()
+    order = ["doc_id", "slot__", "epoch__"]
+    assert got.sort_values(order).reset_index(drop=True).equals(again.sort_values(order).reset_index(drop=True))
+
+
+def test_fm_index():
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 2), (7, 3), (400, 4), (3000, 50)):
+        seq = rng.integers(0, k, n)
+        seq[-1] = 0
+        index = fm_index.FMIndex(seq, k)
+        for size in (1, 2, 3):
+            phrases = rng.integers(1, k, (40, size))
+            low, high = index.search(phrases)
+            for p, a, b in zip(phrases, low, high, strict=True):
+                want = [i for i in range(n - size + 1) if (seq[i : i + size] == p).all()]
+                assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_decontamination(spark):
+    rng = random.Random(1)
+    items = [text(rng, 30), text(rng, 6), text(rng, 3), "A, b. C d e f g h!"]
+    cut = items[0].split()
+    texts = [text(rng, 20) + " " + " ".join(cut[5:17]) + " " + text(rng, 5), items[1].upper(), items[2], " ".join(cut[:7]), "x a B c; D e f g h y", None, "", items[0] + " " + items[0], " ".join(cut[2:10]) + " . " + " ".join(cut[2:10])]
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], tuple(r["items"])) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {(0, " ".join(cut[5:17]), (0,)), (1, items[1].upper(), (1,)), (4, "a B c; D e f g h", (3,)), (7, items[0] + " " + items[0], (0,)), (8, texts[8], (0,))}
+    small = {(r.doc_id, r.start) for r in decontamination.contamination(docs, bench, shard_chars=10, part_words=10).collect()}
+    assert {s[0] for s in small} == {0, 1, 4, 7, 8}
+    left = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect()}
+    assert set(left) == {0, 2, 3, 4, 5, 6} and left[4].text == "x  y" and left[4].n_chars == 4 and left[3].text == texts[3]
+
+
+def test_language_id(local):
+    train = local[local.doc_id % 2 == 0]
+    model = language_id.train(zip(train.lang, train.text, strict=True))
+
+    def infer(t):
+        logs = language_id.likelihoods(model, [w for w in t.lower().split() if language_id.letters(w)])
+        return language_id.mixtures(logs, np.array([len(logs)]))[0], logs
+
+    held = local[local.doc_id % 2 == 1]
+    right = [model.names[infer(t)[0].argmax()] == lang for t, lang in zip(held.text, held.lang, strict=True)]
+    assert np.mean(right) > 0.97
+    one = {k: " ".join(g.text.iloc[0].split()[:150]) for k, g in held.groupby("lang")}
+    shares, logs = infer(one["de"] + " " + one["es"])
+    assert {model.names[k] for k in np.flatnonzero(shares)} == {"de", "es"} and abs(shares[model.names.index("de")] - 0.5) < 0.1
+
+    def value(names):
+        """The penalised likelihood of a set, by many plain EM steps."""
+        likely, pi = np.exp(logs[:, names].astype(float)), np.full(len(names), 1 / len(names))
+        for _ in range(400):
+            r = likely * pi
+            pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return np.log(likely @ pi).sum() - (language_id.PENALTY + np.log(len(logs)) / 2) * (len(names) - 1)
+
+    sets = [s for n in range(1, 4) for s in itertools.combinations(range(len(model.names)), n)]
+    assert set(max(sets, key=lambda s: value(list(s)))) == set(np.flatnonzero(shares))
+    assert infer("qqxzj vvkkq zzxxw jjqqk wwvvx " * 30)[0][-1] > 0.9
+
+
+def test_minhash_finds_what_brute_force_finds(spark, documents, local):
+    got = minhash.near_duplicates(documents).toPandas()
+    sets = [minhash.shingles(t) for t in local.text]
+    near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= minhash.THRESHOLD * len(sets[i] | sets[j])]
+    root = {r.doc_id: r.keep_id for r in got.itertuples()}
+    hit = [root.get(local.doc_id[i], -1) == root.get(local.doc_id[j], -2) for i, j in near]
+    assert near and np.mean(hit) > 0.95
+    linked = {local.doc_id[i] for p in near for i in p}
+    assert set(root) <= linked
+    kept = {r.doc_id for r in minhash.remove_near_duplicates(documents).collect()}
+    assert kept == set(local.doc_id) - set(root) | set(root.values())
+
+
+def test_circulant_signature():
+    signer = minhash.Signer(2, 3, 64)
+    first, second = minhash.permutations(64)
+    words = "a b c d e f g".split()
+    places = {int(first[e]) for e in signer.elements(words)}
+    assert signer.signature(words).tolist() == [min(int(second[(p + k) % 64]) for p in places) for k in range(6)]
+
+
+def test_hot_groups(spark):
+    rng = random.Random(3)
+    base = text(rng, 60)
+    texts = [base] * 40 + [base + f" x{i}" for i in range(60)] + [text(rng, 60) for _ in range(30)]
+    docs = docs_of(spark, texts)
+    got = minhash.near_duplicates(docs).toPandas()
+    assert set(got.doc_id) == set(range(100)) and got.kept.sum() == 1 and set(got.group_size) == {100}
+    assert minhash.remove_near_duplicates(docs).count() == 31
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(80)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    label = {}
+    for a, b in pairs:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(400):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    ends = {x for a, b in pairs if a != b for x in (a, b)}
+    assert set(got) == ends and all((got[a] == got[b]) == (label[a] == label[b]) for a in ends for b in list(ends)[:40])
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 48))
+    near = base[:150] + rng.normal(size=(150, 48)) * np.linspace(0.02, 0.45, 150)[:, None]
+    v = np.concatenate([base, near, base[:3]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {(r.id_a, r.id_b): r.cosine for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    exact = u @ u.T
+    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if exact[i, j] >= embedding_dedup.THRESHOLD}
+    assert set(got) <= want and len(set(got) & want) >= 0.9 * len(want) and len(want) > 60
+    assert all(abs(exact[p] - c) < 1e-4 for p, c in got.items())
+
+
+def test_sharding(spark, documents, local):
+    sketches = sharding._sketches(documents)
+    got = {r.node: r.shard for r in sharding.shard_nodes(sketches, 6).collect()}
+    assert set(got) == set(local.doc_id)
+    size = local.n_chars + 1
+    held = np.bincount([got[d] for d in local.doc_id], weights=size, minlength=6)
+    assert held.max() <= max(size.sum() / 6 * (1 + sharding.SLACK), size.max() + size.sum() / 6) and held.min() > 0
+    edges = sharding.links(sketches).toPandas()
+    before = {r.node: r.shard for r in sharding.shard_nodes(sketches, 6, rounds=0).collect()}
+
+    def crossing(labels):
+        return edges.weight[[labels[a] != labels[b] for a, b in zip(edges.a, edges.b, strict=True)]].sum()
+
+    assert crossing(got) <= crossing(before) and crossing(got) < 0.5 * edges.weight.sum()
+
+
+def test_url_rules(spark):
+    rng = random.Random(7)
+    pages, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        host = "cheap.example.biz" if bad else rng.choice(["news.example.org", "wiki.example.net"])
+        pages.append((i, f"http://{host}/{rng.choice(['en', 'de'])}/{i}" + ("?ref=x" if rng.random() < 0.5 else "")))
+        if i < 200:
+            labels.append((i, int(not bad), 0))
+    p = spark.createDataFrame(pages, "page_id bigint, url string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r.blocked for r in url_filter.url_filter(p, known).collect()}
+    assert got == {i: i % 5 == 0 for i in range(300)}
+    mined = {tuple(r.antecedent): round(r.confidence, 6) for r in url_filter.mine(url_filter.labelled_urls(p, known)).collect()}
+    rows = [(set(r.tokens), r.bad) for r in url_filter.labelled_urls(p, known).select(url_filter._tokens(url_filter.F.col("url")).alias("tokens"), "bad").collect()]
+    items = sorted(set().union(*(t for t, _ in rows)))
+    want = {}
+    for n in (1, 2, 3):
+        for some in itertools.combinations(items, n):
+            has = [bad for t, bad in rows if t.issuperset(some)]
+            if sum(has) >= url_filter.MIN_PAGES and sum(has) / len(has) >= url_filter.MIN_CONFIDENCE and not any(want.get(part, -1) >= round(sum(has) / len(has), 6) for m in range(1, n) for part in itertools.combinations(some, m)):
+                want[some] = round(sum(has) / len(has), 6)
+    assert mined == want
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_sql(spark, sf_dir, name):
+    from pathlib import Path
+
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    a, b = QUERIES[name](spark, sf_dir).toPandas(), con.execute(ORACLE[name]).df()
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns)
+    assert sorted(map(tuple, a[columns].astype(str).values)) == sorted(map(tuple, b[columns].astype(str).values))
