@@ -1,9 +1,11 @@
 """Operator 9, sharding by balanced label propagation.
 
-Documents are linked by content: each keeps the FINGERPRINTS least hashes of its runs of SHINGLE words (of the whole
-text if that is shorter), and the documents that share a hash are chained in order of their ids, each to the next, so
-that links grow in proportion to documents however many share a passage. Shards begin as equal stretches, by size, of
-the documents in order of a hash of their least hash, which puts many linked ones together. Then, for ROUNDS rounds, a document
+Documents are linked by content: two that share a run of SHINGLE words (or a whole text, if that is shorter) anywhere
+are linked, however long they are, as all runs' hashes are compared. The documents of a run are chained in order of
+their ids, each to the next, first those that a worker holds at once and then the least ones of these, so that a run's
+links grow in proportion to its documents; a link weighs as many runs as it joins. Runs are compared in buckets, by
+range of hash, of about BUCKET_BYTES of text each. Shards begin as equal stretches, by size, of the documents in order
+of a hash of their least hash, which puts many linked ones together. Then, for ROUNDS rounds, a document
 with more links into another shard than into its own asks to move there; half of the documents, chosen by a hash, may
 ask in a round. Askers of a shard are taken in order of gain, while they fit into what was free at the round's start,
 so that no shard exceeds its capacity: its even share and SLACK more, or what it has at the start if the documents
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from . import common
 from .ordering import running_total
 
 SHINGLE = 8
-FINGERPRINTS = 8
+BUCKET_BYTES = 8 << 20
 ROUNDS = 6
 SLACK = 0.05
 SHARD_CHARS = 256 << 20
@@ -41,8 +44,8 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")))
 
 
-def fingerprints(words: list[str], known: dict[str, int], shingle: int = SHINGLE, keep: int = FINGERPRINTS) -> np.ndarray:
-    """The least hashes of the text's runs of words."""
+def run_hashes(words: list[str], known: dict[str, int], shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of all the text's runs of words, in order."""
     import xxhash
 
     for w in set(words).difference(known):
@@ -56,40 +59,93 @@ def fingerprints(words: list[str], known: dict[str, int], shingle: int = SHINGLE
     total ^= total >> np.uint64(31)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(29)
-    signed = total.view(np.int64)
-    return np.unique(np.partition(signed, keep - 1)[:keep] if n > keep else signed)
+    return total
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(node, size, prints) by row."""
+def chains(prints: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs and the nodes they are in: the distinct runs in order, the least node of each, and the links (a, b, weight) that chain its nodes."""
+    by_node = np.argsort(nodes, kind="stable")
+    order = by_node[np.argsort(prints[by_node], kind="stable")]
+    prints, nodes = prints[order], nodes[order]
+    fresh = np.ones(len(prints), dtype=bool)
+    fresh[1:] = prints[1:] != prints[:-1]
+    joins = np.flatnonzero(~fresh[1:] & (nodes[1:] != nodes[:-1]))
+    a, b = nodes[joins], nodes[joins + 1]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(a), 1), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return prints[fresh], nodes[fresh], (a[first], b[first], np.diff(np.append(first, len(a))))
+
+
+ROWS = "node bigint, size bigint, least bigint, other bigint, weight bigint"
+FIELDS = ("bucket", "node", "size", "least", "other", "weight", "prints", "nodes")
+KINDS = (pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary())
+
+
+def _rows(n: int, fields: tuple[str, ...] = FIELDS, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values[f], k) if f in values else pa.nulls(n, k) for f, k in zip(FIELDS, KINDS, strict=True) if f in fields], list(fields))
+
+
+def _sketches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(node, size, least, other, weight): a row per row of docs, with its size and its least hash; and rows of links, with the other node and the weight, once a bucket at most."""
     chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.length(F.col("text").cast("string")).cast("bigint")
+    rows = docs.select(_id().alias("node"), (F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1).alias("size"), F.col("text").cast("string").alias("text"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    bounds = np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in common.slices(batches, "text"):
             if len(known) > 400_000:
                 known.clear()
-            prints = [fingerprints(w, known) if (w := common.words(t.as_py() or "")) else np.zeros(0, np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], ["node", "size", "prints"])
-
-    rows = docs.select(_id().alias("node"), (F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1).alias("size"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "node bigint, size bigint, prints array<bigint>")
+            runs = [run_hashes(w, known) if (w := common.words(t.as_py() or "")) else np.zeros(0, np.uint64) for t in batch.column(2)]
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            least = [int(r.view(np.int64).min()) if len(r) else None for r in runs]
+            yield _rows(len(runs), bucket=node % n, node=batch.column(0), size=batch.column(1), least=least)
+            prints, nodes, (a, b, weight) = chains(np.concatenate(runs), np.repeat(node, [len(r) for r in runs]))
+            if len(a):
+                yield _rows(len(a), bucket=a % n, node=a, other=b, weight=weight)
+            cuts = np.concatenate([[0], np.searchsorted(prints, bounds), [len(prints)]])
+            some = np.flatnonzero(np.diff(cuts))
+            yield _rows(len(some), bucket=some, prints=[prints[cuts[k] : cuts[k + 1]].tobytes() for k in some], nodes=[nodes[cuts[k] : cuts[k + 1]].tobytes() for k in some])
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, prints, nodes = None, [], []
+
+        def joined() -> pa.RecordBatch:
+            a, b, weight = chains(np.frombuffer(b"".join(prints), np.uint64), np.frombuffer(b"".join(nodes), np.int64))[2]
+            return _rows(len(a), FIELDS[1:6], node=a, other=b, weight=weight)
+
+        for batch in batches:
+            runs = batch.column(6).is_valid()
+            yield batch.filter(pc.invert(runs)).select(FIELDS[1:6])
+            batch = batch.filter(runs)
+            for bucket, p, x in zip(batch.column(0).to_pylist(), batch.column(6), batch.column(7), strict=True):
+                if bucket != at:
+                    if prints:
+                        yield joined()
+                    at, prints, nodes = bucket, [], []
+                prints.append(p.as_py())
+                nodes.append(x.as_py())
+        if prints:
+            yield joined()
+
+    spread = rows.mapInArrow(sketch, f"bucket int, {ROWS}, prints binary, nodes binary")
+    return spread.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(link, ROWS)
 
 
 def links(sketches: DataFrame) -> DataFrame:
     """(a, b, weight), each link in both directions."""
-    shared = sketches.select("node", F.explode("prints").alias("print")).distinct()
-    chain = Window.partitionBy("print").orderBy("node")
-    pairs = shared.select("node", F.lag("node").over(chain).alias("before")).where("before is not null")
-    return pairs.selectExpr("before a", "node b").union(pairs.selectExpr("node a", "before b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = sketches.where("other is not null")
+    return pairs.selectExpr("node a", "other b", "weight").union(pairs.selectExpr("other a", "node b", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def shard_nodes(sketches: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """(node, shard)."""
-    nodes = sketches.groupBy("node").agg(F.sum("size").alias("size"), F.min(F.coalesce(F.element_at("prints", F.when(F.size("prints") > 0, 1)), F.xxhash64("node"))).alias("least"))
+    nodes = sketches.where("other is null").groupBy("node").agg(F.sum("size").alias("size"), F.min(F.coalesce("least", F.xxhash64("node"))).alias("least"))
     total, count, largest = nodes.agg(F.sum("size"), F.count(F.lit(1)), F.max("size")).first()
     if not count:
-        return sketches.selectExpr("node", "0 shard")
+        return sketches.where("other is null").selectExpr("node", "0 shard")
     n = n_shards or max(MIN_SHARDS, -(-total // SHARD_CHARS))
     begun = running_total(nodes, [], F.xxhash64("least"), ["node"], "size", "offset", count)
     begun = begun.select("node", "size", F.least(F.floor(F.col("offset") * n / F.lit(total)), F.lit(n - 1)).cast("int").alias("shard"))

@@ -304,6 +304,33 @@ def test_sharding(spark, documents, local):
     assert crossing(got) <= crossing(before) and crossing(got) < 0.5 * edges.weight.sum()
 
 
+def test_sharding_links_every_shared_run(spark, documents, local):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(sharding.SHINGLE)]
+    long = [[f"d{d}w{rng.randrange(10**6)}" for _ in range(3000)] for d in range(4)]
+    for d, at in ((0, 40), (1, 2900), (2, 1500)):
+        long[d][at:at] = passage
+    texts = [" ".join(w) for w in long] + local.text.tolist()
+    held = {}
+    for i, t in enumerate(texts):
+        w = common.words(t or "")
+        for k in range(len(w) - min(sharding.SHINGLE, len(w)) + 1 if w else 0):
+            held.setdefault(tuple(w[k : k + sharding.SHINGLE]), set()).add(i)
+    shared = {run: ids for run, ids in held.items() if len(ids) > 1}
+    for bucket in ((), (20_000,)):
+        rows = sharding.links(sharding._sketches(docs_of(spark, texts).repartition(3), *bucket)).toPandas()
+        edges = {(r.a, r.b): r.weight for r in rows.itertuples()}
+        assert all(edges[b, a] == n for (a, b), n in edges.items())
+        assert sum(edges.values()) == 2 * sum(len(ids) - 1 for ids in shared.values())
+        assert {0, 1, 2} == {a for a, _ in edges if a < 4}
+        for ids in shared.values():
+            done, todo = set(), [min(ids)]
+            while todo:
+                done.add(x := todo.pop())
+                todo += [y for y in ids - done if (x, y) in edges]
+            assert done == ids
+
+
 def test_url_rules(spark):
     rng = random.Random(7)
     pages, labels = [], []
