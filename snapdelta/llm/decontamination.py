@@ -7,8 +7,9 @@ phrases at once, sampled suffix positions tell where they occur, and overlapping
 spans. Only stretches of a text that can hold a phrase are indexed, that is runs of benchmark words no shorter than the
 shortest phrase; what is left out can't match.
 
-The benchmark is sent to the executors, in parts of at most PART_WORDS words, each searched in a pass of its own if
-there are several; spans of several passes are merged by document.
+The benchmark is sent to the executors, in parts of about PART_WORDS words. A task searches its shards for the phrases of
+all parts, one part in memory at a time if there are several, and merges the occurrences of all of them in the original
+text, so that results do not depend on the number of parts.
 
 Defined results: null and empty texts, and null benchmark texts, match nothing; a null doc_id keeps its spans; repeated
 rows each have theirs; empty tables (of either kind) give no spans; columns besides doc_id and text, and item_id and
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +54,10 @@ class Phrases:
         self.shortest = min(by, default=0)
 
 
-def find(texts: list[str | None], phrases: Phrases) -> dict[int, list[Span]]:
-    """Spans by the text's place in the list: (first character, end, words, items)."""
+def _hits(texts: list[str | None], phrases: Phrases, hits: dict[int, list[tuple[int, int, set[int]]]]) -> None:
+    """Adds the phrases' occurrences by the text's place in the list: (first word, past the last, items)."""
     if not phrases.tables:
-        return {}
+        return
     get = phrases.numbers.get
     parts, docs, places = [], [], []
     for i, text in enumerate(texts):
@@ -73,12 +75,11 @@ def find(texts: list[str | None], phrases: Phrases) -> dict[int, list[Span]]:
             docs.append(i)
             places.append(b)
     if not parts:
-        return {}
+        return
     seq = np.concatenate(parts)
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts[::2]])[:-1]])
     index = FMIndex(seq, len(phrases.numbers) + 1)
     docs, places = np.array(docs), np.array(places)
-    hits: dict[int, list[tuple[int, int, set[int]]]] = {}
     for size, (table, items) in phrases.tables.items():
         low, high = index.search(table)
         some = np.flatnonzero(high > low)
@@ -87,6 +88,13 @@ def find(texts: list[str | None], phrases: Phrases) -> dict[int, list[Span]]:
         run = np.searchsorted(starts, at, side="right") - 1
         for doc, word, k in zip(docs[run].tolist(), (places[run] + at - starts[run]).tolist(), some[which].tolist(), strict=True):
             hits.setdefault(doc, []).append((word, word + size, items[k]))
+
+
+def find(texts: list[str | None], parts: Iterable[Phrases]) -> dict[int, list[Span]]:
+    """Spans by the text's place in the list: (first character, end, words, items)."""
+    hits: dict[int, list[tuple[int, int, set[int]]]] = {}
+    for phrases in parts:
+        _hits(texts, phrases, hits)
     out: dict[int, list[Span]] = {}
     for doc, found in hits.items():
         found.sort(key=lambda h: h[:2])
@@ -123,46 +131,44 @@ def _parts(benchmark: DataFrame, part_words: int, phrase: int, min_words: int) -
     return [spark.sparkContext.broadcast(Phrases(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toLocalIterator()), phrase, min_words)) for k in range(n)]
 
 
+def _held(parts: list[Broadcast]) -> Iterator[Phrases]:
+    """The parts' phrases; of several parts a worker holds one at a time."""
+    for part in parts:
+        yield part.value if len(parts) == 1 or not getattr(part, "_path", None) else part.load_from_path(part._path)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, min_words: int = MIN_WORDS, shard_chars: int = SHARD_CHARS, part_words: int = PART_WORDS) -> DataFrame:
     """One row per span to remove: doc_id, start and end in characters, n_words, and the items that it repeats."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = _parts(benchmark, part_words, phrase, min_words)
 
-    def search(phrases):
-        def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shard in shards(batches, "text", shard_chars):
-                ids = [i for b in shard for i in b.column(0).to_pylist()]
-                found = find([t for b in shard for t in b.column(1).to_pylist()], phrases.value)
-                flat = [(ids[doc], *span) for doc in sorted(found) for span in found[doc]]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array([f[0] for f in flat], pa.int64()), "start": pa.array([f[1] for f in flat], pa.int64()), "end": pa.array([f[2] for f in flat], pa.int64()), "n_words": pa.array([f[3] for f in flat], pa.int64()), "items": pa.array([sorted(i for i in f[4] if i is not None) for f in flat], pa.list_(pa.int64()))}
-                )
-
-        return spans
-
-    found = [rows.mapInArrow(search(p), SCHEMA) for p in _parts(benchmark, part_words, phrase, min_words)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, "text", shard_chars):
+            ids = [i for b in shard for i in b.column(0).to_pylist()]
+            found = find([t for b in shard for t in b.column(1).to_pylist()], _held(parts))
+            flat = [(ids[doc], *span) for doc in sorted(found) for span in found[doc]]
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": pa.array([f[0] for f in flat], pa.int64()), "start": pa.array([f[1] for f in flat], pa.int64()), "end": pa.array([f[2] for f in flat], pa.int64()), "n_words": pa.array([f[3] for f in flat], pa.int64()), "items": pa.array([sorted(i for i in f[4] if i is not None) for f in flat], pa.list_(pa.int64()))}
+            )
+
+    return rows.mapInArrow(spans, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, min_words: int = MIN_WORDS, shard_chars: int = SHARD_CHARS, part_words: int = PART_WORDS) -> DataFrame:
     """The documents with the spans cut out of their texts and n_chars, where there is one, adjusted; one that has no word left is dropped. All other columns stay."""
-    out = docs
-    for phrases in _parts(benchmark, part_words, phrase, min_words):
-
-        def cut(batches: Iterable[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for shard in shards(batches, "text", shard_chars):
-                column = shard[0].schema.get_field_index("text")
-                found = find([t for b in shard for t in b.column(column).to_pylist()], phrases.value)
-                at = 0
-                for batch in shard:
-                    own = {i - at: found[i] for i in range(at, at + batch.num_rows) if i in found}
-                    at += batch.num_rows
-                    yield _without(batch, column, own) if own else batch
-
-        out = out.mapInArrow(cut, docs.schema)
-    return out
+    parts = _parts(benchmark, part_words, phrase, min_words)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, "text", shard_chars):
+            column = shard[0].schema.get_field_index("text")
+            found = find([t for b in shard for t in b.column(column).to_pylist()], _held(parts))
+            at = 0
+            for batch in shard:
+                own = {i - at: found[i] for i in range(at, at + batch.num_rows) if i in found}
+                at += batch.num_rows
+                yield _without(batch, column, own) if own else batch
+
+    return docs.mapInArrow(cut, docs.schema)
 
 
 def _without(batch: pa.RecordBatch, column: int, spans: dict[int, list[Span]]) -> pa.RecordBatch:

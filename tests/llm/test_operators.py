@@ -201,6 +201,23 @@ def test_decontamination(spark):
     assert set(left) == {0, 2, 3, 4, 5, 6} and left[4].text == "x  y" and left[4].n_chars == 4 and left[3].text == texts[3]
 
 
+def test_decontamination_in_parts(spark):
+    rng = random.Random(2)
+    long = [f"a{i}" for i in range(60)]
+    items = [" ".join(long[i : i + 20]) for i in range(0, 45, 5)] + [" ".join(long[:20])] + [text(rng, 20) for _ in range(6)] + [" ".join(["left"] * 4 + ["right"] * 4)]
+    cut = [i.split() for i in items]
+    texts = [" ".join(long), f"x {' '.join(long[3:19])} y", " ".join(cut[10][:12] + cut[11][4:18]), " ".join(["left"] * 4 + long[:20] + ["right"] * 4), items[12] + " z " + items[13], text(rng, 50)]
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").coalesce(1)
+
+    def run(**parts):
+        spans = decontamination.contamination(docs, bench, **parts).collect()
+        return sorted(map(str, spans)), sorted(map(str, decontamination.decontaminate(docs, bench, **parts).collect()))
+
+    whole = run()
+    assert len(whole[0]) >= 6 and run(part_words=10) == whole and run(part_words=60, shard_chars=10) == whole
+
+
 def test_language_id(local):
     train = local[local.doc_id % 2 == 0]
     model = language_id.train(zip(train.lang, train.text, strict=True))
