@@ -3,9 +3,10 @@
 A URL becomes a set of tokens: scheme, whole host, its domain, subdomains and last label, path segments (numbers as
 one token), file extension, query keys and pairs, fragment. The last number in its path is the id of the document it
 served, which links it to labels; a URL is bad if any label found for it has quality 0 or toxic 1. FP-growth mines the
-labelled URLs' tokens together with the token that says bad or good, and the rules kept are those that conclude bad
-with at least MIN_CONFIDENCE, at least MIN_PAGES URLs behind them (and MIN_SUPPORT of the labelled ones), at most
-MAX_TOKENS tokens, and no other kept rule over a part of their tokens that is as confident.
+bad URLs for the sets of tokens that at least MIN_PAGES of them have, however many URLs there are; their confidence is
+taken from counts over all labelled URLs. The rules kept are those that conclude bad with at least MIN_CONFIDENCE, at
+most MAX_TOKENS tokens, and no other kept rule over a part of their tokens that is as confident. Tokens that only bad
+URLs have, or all URLs, are rules by themselves or none; a longer set with one of them adds nothing and is not mined.
 
 Rules are matched by an index from token to rules: a rule applies to a URL that has as many of its tokens as it has.
 
@@ -24,9 +25,7 @@ from . import common
 
 MIN_CONFIDENCE = 0.6
 MIN_PAGES = 10
-MIN_SUPPORT = 0.001
 MAX_TOKENS = 3
-BAD, GOOD = "label=bad", "label=good"
 
 
 def _tokens(url: Column) -> Column:
@@ -78,27 +77,41 @@ def matches(rules: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     return held.join(index, "token__").groupBy(key, "rule", "needs__").count().where(F.col("count") == F.col("needs__")).select(key, "rule")
 
 
-def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, min_support: float = MIN_SUPPORT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(rule, antecedent, confidence, pages) of the kept rules; rule is the tokens joined."""
     spark = labelled.sparkSession
     shape = "rule string, antecedent array<string>, confidence double, pages bigint"
-    baskets = common.checkpoint(labelled.select(F.concat(_tokens(F.col("url")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items")))
+    baskets = common.checkpoint(labelled.select(F.monotonically_increasing_id().alias("id__"), _tokens(F.col("url")).alias("tokens"), "bad"))
     total = baskets.count()
-    if not total:
+    counts = baskets.select("bad", F.explode("tokens").alias("token__")).groupBy("token__").agg(F.count(F.lit(1)).alias("all__"), F.count_if("bad").alias("pages"))
+    counts = common.checkpoint(counts.where(F.col("pages") >= min_pages))
+    if counts.isEmpty():
         return spark.createDataFrame([], shape)
-    support = min(1.0, max(min_support, (min_pages - 0.5) / total))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
-    rules = common.checkpoint(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", F.round(F.col("support") * total).cast("bigint").alias("pages")).withColumn("rule", F.array_join("antecedent", " ")))
+    alone = counts.select(F.array("token__").alias("antecedent"), "all__", "pages")
+    joining = counts.where((F.col("all__") > F.col("pages")) & (F.col("all__") < total))
+    held = common.checkpoint(baskets.select("id__", "bad", F.explode("tokens").alias("token__")).join(joining.select("token__", "all__"), "token__"))
+    sets = held.groupBy("id__", "bad").agg(F.collect_list("token__").alias("items"))
+    bad = common.checkpoint(sets.where("bad").select("items"))
+    if n := bad.count():
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_pages - 0.5) / n)).fit(bad)
+        longer = model.freqItemsets.where((F.col("freq") >= min_pages) & F.size("items").between(2, max_tokens)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("pages"))
+        longer = common.checkpoint(longer.withColumn("rule", F.array_join("antecedent", " ")))
+        # every set is looked up under its rarest token
+        rarest = longer.select("rule", "antecedent", F.explode("antecedent").alias("token__")).join(joining, "token__").groupBy("rule").agg(F.min_by("token__", F.struct("all__", "token__")).alias("token__"), F.any_value("antecedent").alias("antecedent"))
+        good = held.where("not bad").select("id__", "token__").join(sets.where("not bad").select("id__", "items"), "id__")
+        others = rarest.join(good, "token__").where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("rule").agg(F.count(F.lit(1)).alias("others"))
+        alone = alone.union(longer.join(others, "rule", "left").select("antecedent", F.col("pages") + F.coalesce("others", F.lit(0)), "pages"))
+    found = alone.withColumn("confidence", F.col("pages") / F.col("all__")).where(F.col("confidence") >= min_confidence)
+    rules = common.checkpoint(found.select("antecedent", "confidence", "pages").withColumn("rule", F.array_join("antecedent", " ")))
     parts = matches(rules, rules.select(F.col("rule").alias("whole"), F.col("antecedent").alias("tokens")), "whole").where("rule <> whole")
     confident = rules.select("rule", F.col("confidence").alias("c__"))
     redundant = parts.join(confident, "rule").join(rules.selectExpr("rule whole", "confidence"), "whole").where("c__ >= confidence").select(F.col("whole").alias("rule")).distinct()
     return rules.join(redundant, "rule", "left_anti").select("rule", "antecedent", "confidence", "pages")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, min_support: float = MIN_SUPPORT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row per page: page_id, url, rules (how many apply), confidence and rule of the most confident, blocked."""
-    rules = common.checkpoint(mine(labelled_urls(pages, labels), min_confidence, min_pages, min_support, max_tokens))
+    rules = common.checkpoint(mine(labelled_urls(pages, labels), min_confidence, min_pages, max_tokens))
     sets = pages.select("url").where("url is not null").distinct().withColumn("tokens", _tokens(F.col("url")))
     best = matches(rules, sets, "url").join(rules.select("rule", "confidence"), "rule").groupBy("url").agg(F.count(F.lit(1)).alias("rules"), F.max(F.struct("confidence", F.col("rule"))).alias("best"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url").join(best, "url", "left")

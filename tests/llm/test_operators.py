@@ -373,6 +373,16 @@ def test_url_rules(spark):
     assert mined == want
 
 
+def test_url_rules_of_few_pages_in_a_large_table(spark):
+    pages = [(i, f"http://{'rare.example.biz' if i < 10 else 'few.example.biz' if i < 19 else f'h{i % 40}.example.org'}/{i}") for i in range(12_000)]
+    p = spark.createDataFrame(pages, "page_id bigint, url string")
+    known = spark.createDataFrame([(i, int(i >= 19), 0) for i in range(12_000)], "doc_id bigint, quality int, toxic int")
+    got = {tuple(r.antecedent): (r.pages, r.confidence) for r in url_filter.mine(url_filter.labelled_urls(p, known)).collect()}
+    assert got == {("host=rare.example.biz",): (10, 1.0), ("top=biz",): (19, 1.0), ("domain=rare.example.biz",): (10, 1.0)}
+    few = url_filter.labelled_urls(p.where("page_id between 10 and 18"), known)
+    assert url_filter.mine(few).isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_sql(spark, sf_dir, name):
     from pathlib import Path
