@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
     "component_json": _model(lambda m: output.component_json(m.nodes, m.diff.merged.refs)),
     "relation_json": _model(lambda m: output.relation_json(m.edges)),
     "diagram_json": _model(lambda m: output.diagrams(m)),
-    "diagram_text": lambda spark, sf_dir: render.document(Model(Diff(*tables.snapshots(spark, sf_dir)), FILTER), light_scheme()),
+    "diagram_text": _model(lambda m: render.document(m, light_scheme())),
     "augmented_nodes": _model(lambda m: m.nodes.select("unique_name", F.element_at("augmentations", "type").alias("note")), Plugins(augmenters=(_Interfaces(),))),
     "files_filter_missing": _files_missing,
     "compile_warnings": _warnings,

@@ -37,3 +37,11 @@ def test_entry(spark):
 
     assert set(e.entry(spark).columns) == {"change", "component_type", "n"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_diagram_text_has_every_class_and_edge(spark, sf_dir):
+    (diagram,) = QUERIES["diagram_text"](spark, sf_dir).first()
+    blocks = [r.block for r in QUERIES["class_blocks"](spark, sf_dir).collect()]
+    lines = [r.line for r in QUERIES["edge_lines"](spark, sf_dir).collect()]
+    assert blocks and lines and sum(map(len, blocks)) + sum(map(len, lines)) < len(diagram)
+    assert all(b in diagram for b in blocks) and set(lines) <= {f"{x}\n" for x in diagram.split("\n")}
