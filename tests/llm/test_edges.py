@@ -106,8 +106,12 @@ def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0, None]), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1.0]), (11, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("node", F.lit("x")).withColumn("v", F.lit(1))
-    assert sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect()) == [(1, 2, 1.0), (1, 11, 1.0), (2, 11, 1.0)]
+    got = [tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect()]
+    alone = {(3, 3, 0), (10, 10, 0), *((i, None, 0) for i in (4, 5, 6, 7, 8, 9)), (None, None, 0)}
+    assert len(got) == 12 and set(got) == {(1, 1, 2), (2, 1, 2), (11, 1, 2)} | alone
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).isEmpty()
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0, 0.0]), (3, [9.0, 0.1, 0.0])], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(two).collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 2, 1)]
 
 
 def test_urls(spark, labels):

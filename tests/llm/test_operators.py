@@ -291,18 +291,60 @@ def test_components(spark):
     assert set(got) == ends and all((got[a] == got[b]) == (label[a] == label[b]) for a in ends for b in list(ends)[:40])
 
 
+def vectors_of(spark, v):
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+
+
+def classes_of(near):
+    """(class, links) by row, of a matrix of links."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label, len(near)).min(axis=1))
+        if (new == label).all():
+            return list(zip(label.tolist(), near.sum(axis=1).tolist(), strict=True))
+        label = new
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(400, 48))
-    near = base[:150] + rng.normal(size=(150, 48)) * np.linspace(0.02, 0.45, 150)[:, None]
-    v = np.concatenate([base, near, base[:3]])
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
-    got = {(r.id_a, r.id_b): r.cosine for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    base = rng.normal(size=(400, 48)) + 2.0  # in a cone
+    near = base[:150] + rng.normal(size=(150, 48)) * np.linspace(0.02, 0.9, 150)[:, None]
+    crowd = base[399] + rng.normal(size=(90, 48)) * 0.36  # links within a crowd, some missing
+    v = np.concatenate([base, near, crowd, base[:3], np.repeat(base[5:6], 40, axis=0)])
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    exact = u @ u.T
-    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if exact[i, j] >= embedding_dedup.THRESHOLD}
-    assert set(got) <= want and len(set(got) & want) >= 0.9 * len(want) and len(want) > 60
-    assert all(abs(exact[p] - c) < 1e-4 for p, c in got.items())
+    exact = u @ u.T >= 0.985
+    np.fill_diagonal(exact, False)
+    want = classes_of(exact)
+    for block in (1024, 17):
+        got = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicate_vectors(vectors_of(spark, v), 0.985, block=block).collect()}
+        assert len(got) == len(v) and sum(n for _, n in want) > 2000
+        assert all(got[i][1] <= n for i, (_, n) in enumerate(want)) and sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want)
+        assert np.mean([got[i] == w for i, w in enumerate(want)]) >= 0.97
+
+
+def test_embedding_sql_on_planted_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 64))
+    v = np.concatenate([base, base[:20] + rng.normal(size=(20, 64)) * 0.05, base[:5], base[:9] * 3 + 0.01])
+    df = vectors_of(spark, v)
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    want = sorted(con.execute(embedding_dedup.OP8_SQL).fetchall())
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect()) == want and sum(n for _, _, n in want) > 60
+
+
+def test_embedding_bounds():
+    rng = np.random.default_rng(6)
+    for dim in (64, 100):
+        x = rng.normal(size=(300, dim))
+        x[150:] = x[:150] + rng.normal(size=(150, dim)) * rng.random((150, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        m = embedding_dedup.encode(x)
+        bound = np.array([embedding_dedup.upper_bound(dim, m["code"], m["factor"], m["planes"][k], m["low"][k], m["step"][k], m["total"][k], embedding_dedup.EPSILON) for k in range(300)])
+        middle = np.array([embedding_dedup.upper_bound(dim, m["code"], m["factor"], m["planes"][k], m["low"][k], m["step"][k], m["total"][k], 0.0) - m["step"][k] / 2 for k in range(300)])
+        off = ~np.eye(300, dtype=bool)
+        assert (bound >= x @ x.T)[off].mean() > 0.995 and abs((middle - x @ x.T)[off].mean()) < 0.01
+        assert (bound < embedding_dedup.THRESHOLD)[off].mean() > 0.9  # most pairs need no vectors
 
 
 def test_sharding(spark, documents, local):
