@@ -8,12 +8,14 @@ of at least THRESHOLD, computed on the triples themselves. Groups are the connec
 
 Candidates aren't capped, nor are all pairs of a bucket tested: first each text is tested with the least text of its
 buckets, then all pairs of a bucket that aren't connected yet. A pair left out is connected already, so the components
-are those of testing every pair. Equal texts are one node throughout.
+are those of testing every pair. Equal texts are one node throughout: a worker signs a text once, and later copies of it
+add no bands. A node is a 64-bit hash of the text; two different texts with equal hashes would count as copies.
 
 Defined results: null texts and texts without words are in no group (as duplicates they are left alone); a null doc_id
 may be a member, but the kept one is the least non-null doc_id (of several texts under it, that of the least hash);
-repeated rows are members of one group, of which one row stays; an empty table gives no rows; other columns don't
-matter and pass through remove_near_duplicates() as they are. Very long texts are used whole.
+repeated rows are members of one group, of which one row stays, the one whose columns have the least hash; an empty
+table gives no rows; other columns don't matter and pass through remove_near_duplicates() as they are. Very long texts
+are used whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +37,8 @@ ROWS = 4
 UNIVERSE = 1 << 20
 #: Members of one least text that are verified in one group of rows; larger ones are spread, with the least text copied to each.
 SPREAD = 5000
+#: Texts whose signing a worker remembers at once; a text forgotten is signed again, with the same bands.
+KNOWN = 500_000
 SEED = 7
 
 
@@ -99,17 +103,27 @@ def _node():
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, bands) of documents that have words; node is a hash of the text."""
+    """(doc_id, node, bands) of documents that have words; node is a hash of the text. bands is null for texts that the worker has signed already."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
+        seen: set[int] = set()
         for batch in common.slices(batches, "text"):
-            names = [signer.names(words) if (words := common.WORD.findall((t.as_py() or "").lower())) else None for t in batch.column(2)]
-            some = pa.array([n is not None for n in names], pa.bool_())
-            flat = np.concatenate([n for n in names if n is not None] or [np.zeros(0, np.int64)])
-            offsets = pa.array(np.arange(0, len(flat) + 1, bands), pa.int32())
-            ids, nodes = (batch.column(k).filter(some) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([ids, nodes, pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "node", "bands"])
+            if len(seen) > KNOWN:
+                seen.clear()
+            some, names = [], []
+            for node, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if node in seen:
+                    some.append(True)
+                    names.append(None)
+                elif words := common.WORD.findall((t.as_py() or "").lower()):
+                    seen.add(node)
+                    some.append(True)
+                    names.append(signer.names(words))
+                else:
+                    some.append(False)
+            ids, nodes = (batch.column(k).filter(pa.array(some, pa.bool_())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, nodes, pa.array(names, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _node().alias("node"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id bigint, node bigint, bands array<bigint>")
 
@@ -135,8 +149,8 @@ def _verify(groups: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, spread: int = SPREAD) -> DataFrame:
     """Of pairs (a, b), a < b, those whose texts' exact Jaccard similarity reaches the threshold. texts: (node, text)."""
-    salts = F.floor(F.row_number().over(Window.partitionBy("a").orderBy("b")) / F.lit(spread)).cast("int")
-    placed = pairs.select("a", "b", salts.alias("salt"))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(spread)).alias("parts"))
+    placed = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     roles = placed.selectExpr("b node", "a lead", "salt", "1 role").union(placed.selectExpr("a node", "a lead", "salt", "0 role").distinct())
     rows = roles.join(texts, "node").select("lead", "salt", "role", "node", "text")
     grouped = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role")
@@ -145,10 +159,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, spread: int =
 
 def near_duplicate_nodes(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of the texts that have a near-duplicate with another text."""
-    exploded = signed.select("node", F.explode("bands").alias("band"))
-    bucket = Window.partitionBy("band")
-    shared = exploded.withColumn("lead", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("lead < last").select("band", "node", "lead").distinct()
-    shared = common.written(shared, "shared-bands")
+    exploded = signed.where("bands is not null").select("node", F.explode("bands").alias("band"))
+    leads = exploded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
+    shared = common.written(exploded.join(leads, "band").distinct(), "shared-bands")
     wanted = shared.select("node").distinct()
     numbered = docs.select(_node().alias("node"), F.col("text").cast("string").alias("text")).join(wanted, "node")
     texts = common.written(numbered.dropDuplicates(["node"]), "candidate-texts")
@@ -156,7 +169,8 @@ def near_duplicate_nodes(docs: DataFrame, signed: DataFrame, threshold: float =
     edges = common.checkpoint(verified(first, texts, threshold).select("a", "b"))
     roots = components(edges)
     labelled = shared.select("band", "node").join(roots, "node", "left").selectExpr("band", "node", "coalesce(root, node) root")
-    several = labelled.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").select("band", "node", "root")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    several = common.checkpoint(labelled.join(mixed, "band"))
     left, right = several.toDF("band", "a", "ra"), several.toDF("band", "b", "rb")
     rest = left.join(right, "band").where("a < b and ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     more = common.checkpoint(verified(common.checkpoint(rest), texts, threshold).select("a", "b"))
@@ -187,13 +201,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, of each group only the kept one."""
     members = common.checkpoint(_memberships(docs, threshold))
-    groups = _kept(members)
-    in_groups = members.join(groups, "root").selectExpr("node n_", "doc_id <=> keep_id and node = keep_node as kept_", "doc_id d_").distinct()
-    rows = docs.select(F.struct("*").alias("row_"), F.when(F.col("text").isNotNull(), _node()).alias("n_"), F.col("doc_id").cast("bigint").alias("d_"))
-    joined = rows.alias("l").join(in_groups.alias("r"), (F.col("l.n_") == F.col("r.n_")) & F.col("l.d_").eqNullSafe(F.col("r.d_")), "left")
-    nth = F.row_number().over(Window.partitionBy("l.n_", "l.d_").orderBy(F.lit(1)))
-    passing = joined.withColumn("i_", F.when(F.col("r.kept_"), nth)).where("r.kept_ is null or (r.kept_ and i_ = 1)")
-    return passing.select("l.row_.*")
+    in_groups = members.join(_kept(members), "root").groupBy("node", "doc_id").agg(F.max(F.expr("doc_id <=> keep_id and node = keep_node")).alias("kept_"), F.count(F.lit(1)).alias("times_"))
+    # what goes, and what stays once of several rows
+    judged = common.checkpoint(in_groups.where("not kept_ or times_ > 1").selectExpr("node n_", "doc_id d_", "kept_"))
+    rows = docs.select(F.struct("*").alias("row_"), F.when(F.col("text").isNotNull(), _node()).alias("l_"), F.col("doc_id").cast("bigint").alias("e_"))
+    same = (F.col("l_") == F.col("n_")) & F.col("e_").eqNullSafe(F.col("d_"))
+    repeated = rows.join(judged.where("kept_"), same, "left_semi")
+    plain = [F.col("row_").getField(c) for c, kind in docs.dtypes if "map<" not in kind]
+    once = repeated.groupBy("l_", "e_").agg(F.min_by("row_", F.xxhash64(*plain)).alias("row_"))
+    return rows.join(judged, same, "left_anti").select("row_").union(once.select("row_")).select("row_.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def test_embeddings(spark):
     want = classes_of(exact)
     for block in (1024, 17):
         got = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicate_vectors(vectors_of(spark, v), 0.985, block=block).collect()}
-        assert len(got) == len(v) and sum(n for _, n in want) > 2000
+        assert len(got) == len(v) and sum(n for _, n in want) > 1500
         assert all(got[i][1] <= n for i, (_, n) in enumerate(want)) and sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want)
         assert np.mean([got[i] == w for i, w in enumerate(want)]) >= 0.97
 
@@ -343,7 +343,7 @@ def test_embedding_bounds():
         bound = np.array([embedding_dedup.upper_bound(dim, m["code"], m["factor"], m["planes"][k], m["low"][k], m["step"][k], m["total"][k], embedding_dedup.EPSILON) for k in range(300)])
         middle = np.array([embedding_dedup.upper_bound(dim, m["code"], m["factor"], m["planes"][k], m["low"][k], m["step"][k], m["total"][k], 0.0) - m["step"][k] / 2 for k in range(300)])
         off = ~np.eye(300, dtype=bool)
-        assert (bound >= x @ x.T)[off].mean() > 0.995 and abs((middle - x @ x.T)[off].mean()) < 0.01
+        assert (bound >= x @ x.T)[off].mean() > 0.995 and abs((middle - x @ x.T)[off].mean()) < 0.02
         assert (bound < embedding_dedup.THRESHOLD)[off].mean() > 0.9  # most pairs need no vectors
 
 
