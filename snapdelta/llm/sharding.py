@@ -4,11 +4,11 @@ Documents are linked by content: two that share a run of SHINGLE words (or a who
 are linked, however long they are, as all runs' hashes are compared. The documents of a run are chained in order of
 their ids, each to the next, first those that a worker holds at once and then the least ones of these, so that a run's
 links grow in proportion to its documents; a link weighs as many runs as it joins. Runs are compared in buckets, by
-range of hash, of about BUCKET_BYTES of text each. Shards begin as equal stretches, by size, of the documents in order
+range of hash, of about BUCKET_BYTES of text each; a task has one in memory at a time. Shards begin as equal stretches, by size, of the documents in order
 of a hash of their least hash, which puts many linked ones together. Then, for ROUNDS rounds, a document
 with more links into another shard than into its own asks to move there; half of the documents, chosen by a hash, may
-ask in a round. Askers of a shard are taken in order of gain, while they fit into what was free at the round's start,
-so that no shard exceeds its capacity: its even share and SLACK more, or what it has at the start if the documents
+ask in a round. Askers of a shard are taken in order of gain, to a quarter of its logarithm, then of a hash, while they fit into what
+was free at the round's start, so that no shard exceeds its capacity: its even share and SLACK more, or what it has at the start if the documents
 don't divide evenly.
 
 Size is n_chars where the table has it, else the text's length, plus one a document. Shards are as many as there are
@@ -30,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .ordering import running_total
+from .ordering import BUCKET_ROWS, running_total
 
 SHINGLE = 8
 BUCKET_BYTES = 8 << 20
+#: Text whose runs a task compares, beyond what the session's shuffle partitions divide it into.
+TASK_BYTES = 1 << 30
 ROUNDS = 6
 SLACK = 0.05
 SHARD_CHARS = 256 << 20
@@ -90,7 +92,9 @@ def _sketches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(node, size, least, other, weight): a row per row of docs, with its size and its least hash; and rows of links, with the other node and the weight, once a bucket at most."""
     chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.length(F.col("text").cast("string")).cast("bigint")
     rows = docs.select(_id().alias("node"), (F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1).alias("size"), F.col("text").cast("string").alias("text"))
-    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-n_bytes // bucket_bytes))
+    n_tasks = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_BYTES))
     bounds = np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +135,7 @@ def _sketches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             yield joined()
 
     spread = rows.mapInArrow(sketch, f"bucket int, {ROWS}, prints binary, nodes binary")
-    return spread.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(link, ROWS)
+    return spread.repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(link, ROWS)
 
 
 def links(sketches: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def shard_nodes(sketches: DataFrame, n_shards: int | None = None, rounds: int =
     begun = common.checkpoint(begun.join(edges.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True)), "node", "left"))
     capacity = max(int(total / n * (1 + slack)), largest)
     held = begun.groupBy("shard").agg(F.sum(F.when(F.col("linked"), 0).otherwise(F.col("size"))).alias("fixed"))
-    held = common.checkpoint(F.broadcast(held) if n <= 10_000 else held)
+    held = common.checkpoint(held)
     labels = common.checkpoint(begun.where("linked").select("node", "size", "shard"))
     every = sketches.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
     for r in range(rounds):
@@ -163,8 +167,14 @@ def shard_nodes(sketches: DataFrame, n_shards: int | None = None, rounds: int =
         asking = asking.withColumn("gain", F.col("pull") - F.coalesce(F.try_element_at("pulls", "shard"), F.lit(0))).where("gain > 0 and to <> shard")
         free = every.join(labels.groupBy("shard").agg(F.sum("size").alias("moving")), "shard", "left").join(held, "shard", "left")
         free = free.selectExpr("shard to", f"{capacity} - coalesce(moving, 0) - coalesce(fixed, 0) free")
-        queue = Window.partitionBy("to").orderBy(F.desc("gain"), "size", "node")
-        taken = asking.withColumn("upto", F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0))).join(free, "to").where("upto <= free").select("node", "to")
+        # a shard's queue in pieces of equal gain and hash, so that no task sorts all that ask for one shard
+        asking = common.checkpoint(asking.select("node", "to", "size", (-F.floor(4 * F.log2("gain"))).alias("rank"), F.pmod(F.xxhash64("node"), F.lit(max(1, count // BUCKET_ROWS))).alias("piece")))
+        pieces = asking.groupBy("to", "rank", "piece").agg(F.sum("size").alias("all"))
+        earlier = Window.partitionBy("to").orderBy("rank", "piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select("to", "rank", "piece", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+        queue = Window.partitionBy("to", "rank", "piece").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, 0)
+        queued = asking.withColumn("within", F.sum("size").over(queue)).join(pieces, ["to", "rank", "piece"]).join(free, "to")
+        taken = queued.where("before + within <= free").select("node", "to")
         labels = common.checkpoint(labels.join(taken, "node", "left").selectExpr("node", "size", "coalesce(to, shard) shard"))
     return begun.where("linked is null").select("node", "shard").union(labels.select("node", "shard"))
 
