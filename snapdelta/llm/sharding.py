@@ -15,8 +15,13 @@ Size is n_chars where the table has it, else the text's length, plus one a docum
 SHARD_CHARS of text, MIN_SHARDS at least.
 
 Defined results: rows of one doc_id are one document, whose sizes add up, and go to one shard; a null doc_id is
-replaced by a hash of the text; null and empty texts have no links; an empty table gives no rows; a column shard that
-the documents already have is replaced in sharded_documents(), others pass through.
+replaced by a hash of the text; null and empty texts have no links; ties between shards go to the lower one, between
+askers to the smaller document, then the lower id; an empty table gives no rows; columns shard, slot and place that the
+documents already have are replaced in sharded_documents(), others pass through.
+
+sharded_documents() also keeps the mix of sources: within each shard, rows keep the order that they have in the files
+they come from source by source, and the sources are interleaved by the schedule of operator 4, each at the weight that it
+has in the shard. slot is the block's place in that schedule and place the row's; a shard is to be read in this order.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixing
 from .ordering import BUCKET_ROWS, running_total
 
 SHINGLE = 8
@@ -185,11 +191,31 @@ def sharding(docs: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS,
     return shard_nodes(sketches, n_shards, rounds, slack).selectExpr("node doc_id", "shard")
 
 
-def sharded_documents(docs: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """The documents with all their columns and their shard."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row__, file__, at__, part__): the rows as structs, named by file and place in it, which a repeated task finds again; part__ numbers the file. Tables that don't come straight from files are written first."""
+    try:
+        rows = docs.select(F.struct("*").alias("row__"), "_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        kept = common.written(docs.select(F.struct("*").alias("row__")), "numbered")
+        rows = kept.select("row__", "_metadata.file_path", "_metadata.row_index")
+    part = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("file_path", r"part-(\d{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint"))
+    return rows.select("row__", F.xxhash64("file_path").alias("file__"), F.col("row_index").alias("at__"), part.alias("part__"))
+
+
+def sharded_documents(docs: DataFrame, n_shards: int | None = None, rounds: int = ROUNDS, slack: float = SLACK, block_chars: int = mixing.BLOCK_CHARS) -> DataFrame:
+    """The documents with all their columns, their shard, and slot and place in its mix of sources."""
+    own = ("shard", "slot", "place")
     shards = sharding(docs, n_shards, rounds, slack).toDF("node__", "shard__")
-    rows = docs.select(F.struct("*").alias("row__"), _id().alias("node__")).join(shards, "node__")
-    return rows.select(*(F.col(f"row__.`{c}`") for c in docs.columns if c.lower() != "shard"), F.col("shard__").alias("shard"))
+    rows = _numbered(docs)
+    text = F.col("row__.text").cast("string")
+    node = F.coalesce(F.col("row__.doc_id").cast("bigint"), F.xxhash64(text))
+    chars = F.col("row__.n_chars").cast("bigint") if "n_chars" in docs.columns else F.length(text).cast("bigint")
+    source = F.col("row__.source") if "source" in docs.columns else F.lit(None).cast("string")
+    slim = rows.select("file__", "at__", "part__", node.alias("node__"), source.alias("s__"), (F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)) + 1).alias("c__"))
+    placed = common.written(slim.join(shards, "node__"), "placed")
+    slots = mixing.interleaved(placed, ["file__", "at__", "shard__"], "shard__", "s__", "c__", ["part__", "file__", "at__"], block_chars)
+    out = rows.join(slots, ["file__", "at__"])
+    return out.select(*(F.col(f"row__.`{c}`") for c in docs.columns if c.lower() not in own), F.col("shard__").cast("int").alias("shard"), "slot", "place")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

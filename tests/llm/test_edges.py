@@ -97,7 +97,7 @@ def test_minhash(docs, empty):
 def test_sharding(docs, empty):
     got = sharding.sharding(docs, 3).collect()
     assert len({r.doc_id for r in got}) == len(got) and {1, 2, 3, 4, 5, 6, 7, 8, 9} <= {r.doc_id for r in got}
-    rows = same_columns(sharding.sharded_documents(docs, 3), docs, ["shard"])
+    rows = same_columns(sharding.sharded_documents(docs, 3), docs, ["shard", "slot", "place"])
     assert len(rows) == len(ROWS) and len({r.shard for r in rows if r.doc_id == 1}) == 1
     assert sharding.sharding(empty).isEmpty() and sharding.sharded_documents(empty).isEmpty()
 
