@@ -1,8 +1,10 @@
 """The corpus pipeline: language identification, near-dedup, decontamination, mixing, sharding.
 
 Every stage takes all documents that its predecessor kept, as they were written, and all but the last return the
-columns of documents; the last adds the shard. Null, empty and repeated rows are treated as the operators say: texts
-without letters are rejected by the first stage, of repeated rows one stays after the second.
+columns of documents; the last adds the shard, and slot and place: within each shard the sources are interleaved by
+the schedule of the mixing stage, and a shard is read in order of place. Null, empty and repeated rows are treated as the
+operators say: texts without letters are rejected by the first stage, of repeated rows one stays after the second. An
+empty table gives no rows; further columns pass through.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of each document."""
+    """Adds the shard of each document, and its place in the shard's mix of sources."""
     return sharded_documents(docs)
 
 
