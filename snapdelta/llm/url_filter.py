@@ -7,6 +7,8 @@ bad URLs for the sets of tokens that at least MIN_PAGES of them have, however ma
 taken from counts over all labelled URLs. The rules kept are those that conclude bad with at least MIN_CONFIDENCE, at
 most MAX_TOKENS tokens, and no other kept rule over a part of their tokens that is as confident. Tokens that only bad
 URLs have, or all URLs, are rules by themselves or none; a longer set with one of them adds nothing and is not mined.
+Tokens that the same labelled URLs have can't be told apart, so that in longer sets the first by name stands for them.
+Of rules of equal confidence that apply to a URL the last by name is reported.
 
 Rules are matched by an index from token to rules: a rule applies to a URL that has as many of its tokens as it has.
 
@@ -90,6 +92,9 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages:
     alone = counts.select(F.array("token__").alias("antecedent"), "all__", "pages")
     joining = counts.where((F.col("all__") > F.col("pages")) & (F.col("all__") < total))
     held = common.checkpoint(baskets.select("id__", "bad", F.explode("tokens").alias("token__")).join(joining.select("token__", "all__"), "token__"))
+    # one token of each set of URLs
+    places = held.groupBy("token__").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id__")).alias("x"), F.bit_xor(F.xxhash64("id__", F.lit("b"))).alias("y"))
+    held = common.checkpoint(held.join(places.groupBy("n", "x", "y").agg(F.min("token__").alias("token__")).select("token__"), "token__", "left_semi"))
     sets = held.groupBy("id__", "bad").agg(F.collect_list("token__").alias("items"))
     bad = common.checkpoint(sets.where("bad").select("items"))
     if n := bad.count():
