@@ -1,14 +1,13 @@
 """Operator 2, toxicity: a bidirectional GRU with attention pooling over character and word inputs, in numpy.
 
-A word's input is a word vector (words found in MIN_DOCS sampled documents or more have one of their own, the rest share
-one) beside the mean of its hashed character-trigram vectors. A window of WINDOW
+A word's input is a word vector (of the words found in MIN_DOCS sampled documents or more the WORD_ROWS - 1 commonest have one of
+their own, the rest share one) beside the mean of its hashed character-trigram vectors. A window of WINDOW
 words runs through a forward and a backward gated recurrent unit; attention weighs the steps' states, and a logistic
 unit scores their weighted mean. Windows overlap by half; all of them are scored, the last one ending with the text,
 and a document scores as its worst window does. It is toxic if that reaches THRESHOLD.
 
 Training (on the driver, by back-propagation through time) uses a sample of labelled documents chosen by a hash of
-their ids: about SAMPLE_DOCS labels at any input size (twice that at most), and of each document's windows at most
-TRAIN_WINDOWS. Labels are of documents, not windows, so after a first phase on all windows of toxic documents only those
+their ids: about SAMPLE_DOCS labels at any input size (twice that at most), with all their windows. Labels are of documents, not windows, so after a first phase on all windows of toxic documents only those
 count as toxic that the network itself finds so, and the worst one of each; of the clean windows, those that look worst
 among HARD_POOL drawn anew now and then make up a third of the batches. Steps are fixed in number.
 
@@ -17,7 +16,8 @@ up to MAX_WORDS words.
 
 Defined results: a null, empty or wordless text has no window, a null score and isn't toxic; a null doc_id keeps its
 row; repeated rows score alike; an empty table gives no rows; labels that are null, or whose document is missing, are
-not used, of contradictory ones toxic holds; with no usable labels of both kinds all scores are 0. Columns besides
+not used, of contradictory ones toxic holds; with no labels, or none usable of both kinds, all scores are 0; of windows
+that score alike the first is reported. Columns besides
 doc_id and text (doc_id and toxic in labels) don't matter. Very long texts are scored whole.
 """
 
@@ -43,7 +43,6 @@ ATTENTION = 8
 SAMPLE_DOCS = 8000
 MIN_DOCS = 5
 DECAY = 0.02
-TRAIN_WINDOWS = 8
 STEPS, BATCH, RATE = 300, 192, 0.02
 HARD_POOL = 8000
 THRESHOLD = 0.9
@@ -166,16 +165,16 @@ def train(rows: Iterable[tuple[str, int]], steps: int = STEPS, seed: int = 0) ->
         ids = np.array([vocab.setdefault(w, len(vocab) + 1) for w in common.words(text)], dtype=np.int64)
         spread.update(set(ids.tolist()))
         first = windows(len(ids))
-        for at in first if len(first) <= TRAIN_WINDOWS else rng.choice(first, TRAIN_WINDOWS, replace=False):
-            held.append(np.pad(ids[at : at + WINDOW], (0, max(0, WINDOW - len(ids[at : at + WINDOW])))))
-            labels.append(toxic)
-            owners.append(owner)
+        at = first[:, None] + np.arange(WINDOW)
+        held.append(np.where(at < len(ids), np.append(ids, 0)[np.minimum(at, len(ids))], 0).astype(np.int32))
+        labels += [toxic] * len(first)
+        owners += [owner] * len(first)
     labels, owners = np.array(labels), np.array(owners)
     if not len(labels) or labels.min() == labels.max():
         net.p["out"][:] = 0
         net.p["out_b"][:] = -30
         return net
-    table = np.array(held)
+    table = np.concatenate(held)
     names = ["", *vocab]
     net.vocab = {names[w]: row for row, (w, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[: WORD_ROWS - 1], 1) if n >= MIN_DOCS}
     ids, grams, lengths = net.features(names)
@@ -295,7 +294,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> DataF
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, net: Network | None = None, threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per document: doc_id, score, n_windows, worst_word (where the worst window begins, in words), toxic. One pass, no shuffle."""
     if net is None:
-        net = train((r.text, int(r.toxic > 0)) for r in sample(docs, labels, sample_docs).collect())
+        net = train((r.text, int(r.toxic > 0)) for r in sample(docs, labels, sample_docs).toLocalIterator()) if labels is not None else train([])
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
