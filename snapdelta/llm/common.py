@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that and the context's own are unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,7 +34,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="snapdelta-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own_folder = tempfile.mkdtemp(prefix="snapdelta-")
+        atexit.register(shutil.rmtree, own_folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own_folder)
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
@@ -46,11 +52,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like checkpoint(), as a compressed column table: for results that are wide or read by column."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_written(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _written(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/written-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that written() made in this application: to be called once its results are saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of text; a longer text is a batch of its own."""
     for batch in batches:

@@ -9,13 +9,13 @@ settled early, on its best single language, once a bound shows that no larger se
 component k's likelihood over the mixture's, no mixture exceeds the present log-likelihood by more than
 words * (max g_k - 1).
 
-The trigram tables are fitted on a sample of labelled rows, chosen by a hash of their ids so that about SAMPLE_DOCS of
-them are expected at any input size (twice that at most); everything else covers all rows and whole texts.
+The trigram tables are fitted on a sample of labelled rows, the SAMPLE_DOCS ones whose id and text have the least hash;
+everything else covers all rows and whole texts.
 
 Defined results: a null text, or one without letters, has no languages, a null main language and is not accepted; a
 null doc_id keeps its row; repeated rows give repeated results; an empty table gives no rows (and, as training input, a
 model that knows "und" only); a null lang is not used for training; columns other than doc_id, text and lang are
-ignored. A document is accepted if languages other than "und" make up at least MIN_KNOWN of it.
+ignored. Of languages with equal shares the one named first goes first. A document is accepted if languages other than "und" make up at least MIN_KNOWN of it.
 """
 
 from __future__ import annotations
@@ -52,23 +52,24 @@ def letters(token: str) -> str:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
-    """About this many labelled rows, chosen by a hash of the id; twice as many at most."""
+    """This many labelled rows, those of least hash; (lang, text)."""
+    hashed = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit("language")).alias("h_"))
     total = max(docs.count(), 1)
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < F.lit(int(min(1.0, rows / total) * (1 << 40)))
-    return docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull()).selectExpr("cast(lang as string) lang", "cast(text as string) text").limit(2 * rows)
+    # a bound below which about twice as many hashes lie as are wanted spares sorting the rest; where too few do, all are sorted
+    near = hashed.where(F.col("h_") < F.lit(int((min(1.0, 2 * rows / total) - 0.5) * 2.0**63 * 2) if 2 * rows < total else 2**63 - 1))
+    pool = near if near.select("h_").limit(rows).count() == rows else hashed
+    return pool.orderBy("h_", "lang").limit(rows).select("lang", "text")
 
 
 def train(rows: Iterable[tuple[str, str]]) -> Model:
     """rows: (language, text)."""
-    texts: dict[str, list[str]] = {}
+    found: dict[str, np.ndarray] = {}
     for lang, text in rows:
-        texts.setdefault(lang, []).append(text)
-    names = sorted(texts)
-    counts = np.zeros((BUCKETS, len(names) + 1))
-    for k, name in enumerate(names):
-        for text in texts[name]:
-            if words := [w for t in text.lower().split() if (w := letters(t))]:
-                counts[:, k] += np.bincount(common.trigrams(words, BUCKETS)[0], minlength=BUCKETS)
+        own = found.setdefault(lang, np.zeros(BUCKETS))
+        if words := [w for t in text.lower().split() if (w := letters(t))]:
+            own += np.bincount(common.trigrams(words, BUCKETS)[0], minlength=BUCKETS)
+    names = sorted(found)
+    counts = np.stack([*(found[name] for name in names), np.zeros(BUCKETS)], axis=1)
     counts[:, :-1] += 0.05
     counts[:, -1] = 1
     return Model([*names, "und"], np.log(counts / counts.sum(axis=0)).astype(np.float32))

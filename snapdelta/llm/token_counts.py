@@ -153,4 +153,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str = VOCABULARY, max_nodes:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(common.read(spark, sf_dir, "documents"))
+    """With the vocabulary that the session's setting spark.snapdelta.vocabulary names, if it does."""
+    return token_counts(common.read(spark, sf_dir, "documents"), spark.conf.get("spark.snapdelta.vocabulary", VOCABULARY))
