@@ -23,13 +23,14 @@ def member_association(kind: Column, modifiers: Column) -> Column:
     return F.when(kind == FIELD_TYPES[0], field).when(kind.isin(*METHOD_TYPES), F.lit("WEAK_ASSOCIATION")).when(kind.isin(*PARAMETER_TYPES), F.lit("ASSOCIATION"))
 
 
-def candidates(snapshot: Snapshot) -> DataFrame:
+def candidates(snapshot: Snapshot, owners: DataFrame | None = None) -> DataFrame:
     """Every edge that a reference gives, before equal strengths collapse: source, target, association, strength, multiplicity, origin, phase.
 
     References of a base component count if they extend or implement; those of a member are its owner's, whatever
-    their kind. Targets are rolled up to their base; unknown ones, and the source itself, are dropped.
+    their kind. Targets are rolled up to their base; unknown ones, and the source itself, are dropped. owners: the
+    snapshot's hierarchy.nodes(), where they are kept already.
     """
-    known = nodes(snapshot)
+    known = nodes(snapshot) if owners is None else owners
     ends = known.where("base is not null").select(F.col("unique_name").alias("target"), F.col("base").alias("target_base"))
     held = snapshot.refs.join(known.where(relevant(F.col("component_type")) & F.col("base").isNotNull()), "unique_name")
     base = is_base(F.col("component_type"))
@@ -47,9 +48,9 @@ def collapse(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "strength").agg(first).select("source", "target", "first.association", "strength", "first.multiplicity")
 
 
-def extract(snapshot: Snapshot) -> DataFrame:
+def extract(snapshot: Snapshot, owners: DataFrame | None = None) -> DataFrame:
     """The relations of a snapshot: source, target, association, strength, multiplicity."""
-    return collapse(candidates(snapshot))
+    return collapse(candidates(snapshot, owners))
 
 
 def inserted(rows: DataFrame) -> DataFrame:

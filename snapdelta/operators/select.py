@@ -14,13 +14,19 @@ PALETTE = "f0fffa f0fffd f9fff0 f0f1ff fff0ff f0f8ff f0ffff fffaf0 f5f5dc f8f4ff
 DEFAULT_COLOR = "#E0E0E0"
 
 
-def changed_bases(merged: Snapshot, changes: DataFrame, files: Iterable[str] = ()) -> DataFrame:
+def changed_bases(merged: Snapshot, changes: DataFrame, files: Iterable[str] = (), owners: DataFrame | None = None) -> DataFrame:
     """(unique_name) of the base components of everything changed; with files, of what lies in them according to the merged rows. Changed members without a base component are dropped. Neighbours that didn't change aren't selected."""
     names = changes.select("unique_name").distinct()
     files = sorted(files)
     if files:
         names = names.join(merged.components.where(F.col("source_file").isin(files)).select("unique_name"), "unique_name", "left_semi")
-    return names.join(base_of(merged), "unique_name").select(F.col("base").alias("unique_name")).distinct()
+    owned = base_of(merged) if owners is None else owners.where("base is not null").select("unique_name", "base")
+    return names.join(owned, "unique_name").select(F.col("base").alias("unique_name")).distinct()
+
+
+def without_base(merged_owners: DataFrame, changes: DataFrame) -> DataFrame:
+    """(unique_name) of what changed but belongs to no base component, so that no diagram shows it."""
+    return changes.select("unique_name").distinct().join(merged_owners.where("base is not null").select("unique_name"), "unique_name", "left_anti")
 
 
 def diagram_nodes(merged: Snapshot, names: DataFrame) -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from .model import ASSOCIATIONS
-from .operators.select import PALETTE
-from .plans.config import light_scheme
-from .plans.render import LARGE
-
-STYLE = light_scheme()
+import re
+
+ASSOCIATIONS = {"SPECIALIZATION": (8, "|>", "<|"), "REALIZATION": (8, "|>", "<|"), "COMPOSITION": (6, "*", "*"), "AGGREGATION": (6, "o", "o"), "ASSOCIATION": (3, ">", "<"), "WEAK_ASSOCIATION": (1, ">", "<"), "NONE": (-1, "", "")}
+PALETTE = ["f0fffa", "f0fffd", "f9fff0", "f0f1ff", "fff0ff", "f0f8ff", "f0ffff", "fffaf0", "f5f5dc", "f8f4ff", "f5f5dc", "f8f8ff", "f8f8f9", "e7e8ee", "fdecd5"]
+LARGE = 20
+STYLE = {
+    "added_component_color": "#bef5cb", "deleted_component_color": "#fdaeb7", "modified_component_color": "#b3e3f5", "class_font_color": "#FFDEAD", "background_color": "#f8f8f8",
+    "default_class_header_color": "#24292e", "added_relation_color": "#00cc00", "deleted_relation_color": "#cc0000", "class_arrow_color": "#464646",
+}
 BASES = "('CLASS', 'INTERFACE', 'STRUCT')"
 
 
 def _strength(column: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {a.strength}" for k, a in ASSOCIATIONS.items()) + " END"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {a[0]}" for k, a in ASSOCIATIONS.items()) + " END"
 
 
 def _ends(column: str, way: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{getattr(a, way)}'" for k, a in ASSOCIATIONS.items()) + " END"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{a[1 if way == 'forward' else 2]}'" for k, a in ASSOCIATIONS.items()) + " END"
 
 
 def _components(s: str, parts: str, orders: str, hash_: str, modifier: str) -> str:
@@ -91,13 +94,24 @@ colors AS (SELECT pkg AS package_path, ['{"', '".join("#" + c for c in PALETTE)}
 mut AS (
   SELECT f.source, f.target, f.association, f.strength, coalesce(r.association, 'NONE') AS reverse_association, coalesce(r.strength, -1) AS reverse_strength
   FROM tp f LEFT JOIN tp r ON r.source = f.target AND r.target = f.source),
-kid AS (SELECT k.parent, k.child, c.component_type, c.name, c.code_fragment, c.modifier, count(*) OVER (PARTITION BY k.parent) AS n FROM g_k k JOIN g_c c ON k.child = c.unique_name)
+kid AS (SELECT k.parent, k.child, c.component_type, c.name, c.code_fragment, c.modifier, c.code_hash AS c_hash, count(*) OVER (PARTITION BY k.parent) AS n FROM g_k k JOIN g_c c ON k.child = c.unique_name)
 """
 )
 
 
+#: The prelude's tables by name, each with its text.
+_TABLES = {m[1]: m[2] for m in re.finditer(r"^(?:WITH )?(\w+) AS (\(.*?\))(?=,?\s*^\w+ AS \(|,?\s*\Z)", PRELUDE, re.DOTALL | re.MULTILINE)}
+
+
 def sql(body: str) -> str:
-    return PRELUDE + body
+    """The query with those of the prelude's tables that it needs."""
+    wanted, todo = set(), [body]
+    while todo:
+        words = set(re.findall(r"\w+", todo.pop()))
+        for name in words & set(_TABLES) - wanted:
+            wanted.add(name)
+            todo.append(_TABLES[name])
+    return "WITH " + ",\n".join(f"{k} AS {t}" for k, t in _TABLES.items() if k in wanted) + "\n" + body
 
 
 CHANGE = "CASE rank WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'unchanged' END"
@@ -123,6 +137,33 @@ def _color(flag: str) -> str:
 
 WRAPPED = r"rtrim(regexp_replace(trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g')), '(.{1,80})(?: |$)', '\1' || chr(10), 'g'), chr(10))"
 
+SHOWN = "trim(CASE WHEN c_hash % 3 = 0 THEN '{abstract} ' ELSE '' END || CASE WHEN c_hash % 2 = 0 THEN '{static} ' ELSE '' END || code_fragment)"
+GIVEN = f"""given AS (
+  SELECT source, target, m[1] AS association, strength, m[2] AS multiplicity FROM (
+    SELECT source, target, strength, min(ROW(association, multiplicity)) AS m FROM (
+      SELECT *, {_strength("association")} AS strength FROM (
+        SELECT 'P' || (l_partkey % 50) AS source, 'S' || (l_suppkey % 20) AS target, ['', '0..1', '0..*'][1 + l_orderkey % 3] AS multiplicity,
+          ['SPECIALIZATION', 'REALIZATION', 'COMPOSITION', 'AGGREGATION', 'ASSOCIATION', 'WEAK_ASSOCIATION', 'NONE', 'NONE'][1 + l_linenumber % 8] AS association FROM lineitem)) GROUP BY ALL))"""
+FILES = "SELECT '/' || source || '/' || doc_id || ['.java', '.py', '.txt'][1 + doc_id % 3] AS path, text AS content, doc_id FROM documents"
+REFS = "SELECT unique_name, list_sort(list(DISTINCT {'kind': kind, 'target': target})) AS refs FROM g_r GROUP BY 1"
+COMPONENT = "{'uniqueName': unique_name, 'modifiers': [], 'componentType': component_type, 'refs': coalesce(refs, []), 'name': name, 'comment': comment, 'sourceFile': source_file, 'package': {'path': pkg, 'name': pkg}, 'componentName': name}"
+RELATION = "{'strength': strength, 'originalComponent': source, 'targetComponent': target, 'targetComponentRelationMultiplicity': '', 'associationType': association}"
+
+
+def _names(change: str) -> str:
+    return f"(SELECT coalesce(list_sort(list(DISTINCT unique_name)), []) FROM chg WHERE change = '{change}')"
+
+
+def _related(change: str) -> str:
+    return f"(SELECT coalesce(list_sort(list(DISTINCT {{'source': source, 'target': target, 'association': association, 'strength': strength}})), []) FROM rc WHERE change = '{change}')"
+
+
+def _times(column: str) -> str:
+    return f"CASE WHEN {column} IN ('', '0..1') THEN '' ELSE '\"' || {column} || '\" ' END"
+
+
+CHANGE_SET = f"{{'addedComponents': {_names('added')}, 'deletedComponents': {_names('deleted')}, 'modifiedComponents': {_names('modified')}, 'keyRelationsComponents': {_names('key_relation')}, 'addedRelations': {_related('added')}, 'deletedRelations': {_related('deleted')}}}"
+
 ORACLE: dict[str, str] = {
     "component_change_summary": sql("SELECT change, component_type, count(*) AS n FROM cc GROUP BY ALL"),
     **{f"components_{c}": sql(f"SELECT unique_name, component_type FROM cc WHERE change = '{c}'") for c in ("added", "deleted", "modified")},
@@ -166,8 +207,41 @@ ORACLE: dict[str, str] = {
       LEFT JOIN (SELECT source, target, strength, min(change) AS change FROM rc GROUP BY ALL) f ON f.source = m.source AND f.target = m.target AND f.strength = m.strength
       LEFT JOIN (SELECT source, target, strength, min(change) AS change FROM rc GROUP BY ALL) r ON r.source = m.target AND r.target = m.source AND r.strength = m.reverse_strength"""),
     "augmented_nodes": sql("SELECT unique_name, lower(component_type) AS note FROM nd UNION SELECT unique_name, lower(component_type) FROM g_c WHERE component_type = 'INTERFACE'"),
-    "files_filter_missing": "SELECT path FROM (VALUES ('/a.java'), ('/gone.java')) t(path) WHERE path <> '/a.java'",
-    "compile_warnings": "SELECT '/bad.java' AS path",
+    "decorated_ends": sql("SELECT unique_name, ' note ' || component_type || chr(10) || '}' || chr(10) AS \"end\" FROM nd"),
+    "modifier_lines": sql(f"""SELECT parent, child, CASE modifier WHEN 'public' THEN '+' WHEN 'private' THEN '-' WHEN 'protected' THEN '#' ELSE '~' END || '  '
+      || CASE rank WHEN 0 THEN '<back:#abcdef>' || {SHOWN} || '</back>         ' WHEN 1 THEN '<back:#fdaeb7>' || {SHOWN} || '</back>         '
+        WHEN 2 THEN '<back:#b3e3f5>' || {SHOWN} || '</back>         ' ELSE {SHOWN} END || chr(10) AS line
+      FROM kid LEFT JOIN flag ON child = flag.unique_name WHERE component_type IN ('FIELD', 'METHOD') AND (n <= 20 OR rank IS NOT NULL) AND parent IN (SELECT unique_name FROM nd)"""),
+    "edges_drawable": sql("""SELECT * FROM ed WHERE source NOT LIKE '%3' AND target NOT LIKE '%3'
+      AND source IN (SELECT unique_name FROM nd WHERE code_hash % 5 <> 0) AND target IN (SELECT unique_name FROM nd WHERE code_hash % 5 <> 0)"""),
+    "relations_inserted": f"WITH {GIVEN} SELECT * FROM given",
+    "multiplicity_lines": f"""WITH {GIVEN}, top AS (SELECT source, target, max(ROW(strength, association, multiplicity)) AS t FROM given GROUP BY ALL),
+      both_ AS (SELECT f.source, f.target, f.t[2] AS a, f.t[1] AS sa, f.t[3] AS ma, coalesce(r.t[2], 'NONE') AS b, coalesce(r.t[1], -1) AS sb, coalesce(r.t[3], '') AS mb FROM top f LEFT JOIN top r ON r.source = f.target AND r.target = f.source)
+      SELECT source, target, '"' || source || '" ' || {_times("mb")} || {_end("a", "b", "backward")}
+      || CASE WHEN sa > sb THEN {_body("a", "CASE source WHEN 'P7' THEN '#00cc00' ELSE '#464646' END")} ELSE {_body("b", "'#464646'")} END
+      || {_end("b", "a", "forward")} || {_times("ma")} || '"' || target || '" ' || chr(10) AS line FROM both_""",
+    "relations_described": sql("SELECT source || ' -[' || association || ' ' || strength || ']-> ' || target AS line FROM n_e"),
+    "relations_distinct": sql("SELECT DISTINCT source, target, association FROM n_e"),
+    "relations_out_of_added": sql("SELECT * FROM n_s WHERE source IN (SELECT unique_name FROM cc WHERE change = 'added')"),
+    "interfaces_of_key_relations": sql("SELECT unique_name FROM kr WHERE unique_name IN (SELECT unique_name FROM g_c WHERE component_type = 'INTERFACE')"),
+    "changes_without_base": sql("SELECT DISTINCT unique_name FROM chg WHERE unique_name NOT IN (SELECT unique_name FROM n_b WHERE base IS NOT NULL)"),
+    "groups_by_type": sql("SELECT component_type AS type, count(*) AS size, string_agg(unique_name, ',' ORDER BY unique_name) AS members FROM nd GROUP BY 1"),
+    "groups_condensed": sql("SELECT 'all' AS type, count(*) AS size FROM nd HAVING count(*) > 0"),
+    "diagram_summary_condensed": sql("SELECT 'all' AS diagram, string_agg(DISTINCT pkg, ',' ORDER BY pkg) AS packages, count(*) AS size, count(*) <= 10 AS drawn FROM nd HAVING count(*) > 0"),
+    "nodes_with_default_color": sql("SELECT unique_name, pkg AS package_path, CASE color WHEN '#f0f8ff' THEN '#E0E0E0' ELSE color END AS color FROM nd JOIN colors ON pkg = package_path"),
+    "source_files_parsed": f"""WITH f AS ({FILES} WHERE doc_id % 3 < 2)
+      SELECT path AS unique_name, 'CLASS' AS component_type, length(content) AS code_hash, path AS base, NULL AS parent, NULL AS place FROM f
+      UNION ALL SELECT path || '.size', 'FIELD', length(content), path, path, 0 FROM f""",
+    "files_of_language": f"SELECT path FROM ({FILES}) WHERE path LIKE '%.py'",
+    "component_json": sql(f"SELECT unique_name, CAST(to_json({COMPONENT}) AS VARCHAR) AS json FROM nd LEFT JOIN ({REFS}) USING (unique_name)"),
+    "relation_json": sql(f"SELECT source, target, strength, CAST(to_json({RELATION}) AS VARCHAR) AS json FROM ed"),
+    "change_set_json": sql(f"SELECT CAST(to_json({CHANGE_SET}) AS VARCHAR) AS json"),
+    "diagram_json": sql(f"""SELECT CAST(to_json({{'packages': (SELECT list_sort(list(DISTINCT pkg)) FROM nd), 'size': (SELECT count(*) FROM nd),
+      'components': (SELECT list(c ORDER BY c.uniqueName) FROM (SELECT {COMPONENT} AS c FROM nd LEFT JOIN ({REFS}) USING (unique_name))),
+      'relations': (SELECT map_from_entries(list((source, l) ORDER BY source)) FROM (SELECT source, list({RELATION} ORDER BY strength, target) AS l FROM ed GROUP BY source)),
+      'changeSet': {CHANGE_SET}, 'compressedSVG': NULL}}) AS VARCHAR) AS json WHERE EXISTS (SELECT 1 FROM nd)"""),
+    "files_filter_missing": f"SELECT path FROM ({FILES}) WHERE doc_id % 2 <> 0 AND doc_id % 3 <> 0",
+    "compile_warnings": f"SELECT path FROM ({FILES}) WHERE content LIKE '%#%'",
     "text_comment_stripped": "SELECT doc_id, replace(replace(replace('/** ' || text || ' */', '/*', ''), '*/', ''), '*', '') AS text FROM documents",
     "text_brackets": "SELECT doc_id, translate(text, '()', '[]') AS text FROM documents",
     "text_normalized": r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g')) AS text FROM documents",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..model import Snapshot
-from ..operators import changes, merge, relations, select
+from ..operators import changes, hierarchy, merge, relations, select
 from .config import Config
 from .plugins import Plugins, ordered
 
@@ -28,8 +28,11 @@ class Diff:
     """
 
     def __init__(self, old: Snapshot, new: Snapshot, strict_types: bool = False):
-        self.old, self.new, self.strict_types = old, new, strict_types
         self.held: list[DataFrame] = []
+        self.old, self.new, self.strict_types = self._kept(old), self._kept(new), strict_types
+
+    def _kept(self, snapshot: Snapshot) -> Snapshot:
+        return Snapshot(self.keep(snapshot.components), self.keep(snapshot.refs), self.keep(snapshot.children), snapshot.depth)
 
     def keep(self, table: DataFrame) -> DataFrame:
         self.held.append(table.persist(StorageLevel.MEMORY_AND_DISK))
@@ -41,19 +44,31 @@ class Diff:
 
     @cached_property
     def merged(self) -> Snapshot:
-        return merge.merge(self.old, self.new)
+        return self._kept(merge.merge(self.old, self.new))
+
+    @cached_property
+    def old_owners(self) -> DataFrame:
+        return self.keep(hierarchy.nodes(self.old))
+
+    @cached_property
+    def new_owners(self) -> DataFrame:
+        return self.keep(hierarchy.nodes(self.new))
+
+    @cached_property
+    def merged_owners(self) -> DataFrame:
+        return self.keep(hierarchy.nodes(self.merged))
 
     @cached_property
     def old_relations(self) -> DataFrame:
-        return self.keep(relations.extract(self.old))
+        return self.keep(relations.extract(self.old, self.old_owners))
 
     @cached_property
     def new_relations(self) -> DataFrame:
-        return self.keep(relations.extract(self.new))
+        return self.keep(relations.extract(self.new, self.new_owners))
 
     @cached_property
     def merged_relations(self) -> DataFrame:
-        return self.keep(relations.extract(self.merged))
+        return self.keep(relations.extract(self.merged, self.merged_owners))
 
     @cached_property
     def component_changes(self) -> DataFrame:
@@ -81,12 +96,16 @@ class Model:
     @cached_property
     def names(self) -> DataFrame:
         """(unique_name); augmenters have their say before edges are chosen."""
-        out = select.changed_bases(self.diff.merged, self.diff.changes, self.files)
+        out = select.changed_bases(self.diff.merged, self.diff.changes, self.files, self.diff.merged_owners)
         if self.augmented:
             for augmenter in ordered(self.plugins.augmenters):
                 out = augmenter.augment(self.diff, out).select("unique_name").distinct()
         return self.diff.keep(out)
 
+    def without_base(self) -> DataFrame:
+        """(unique_name) of the changed members that no diagram shows, as they have no base component; their count is for the log."""
+        return select.without_base(self.diff.merged_owners, self.diff.changes)
+
     @cached_property
     def nodes(self) -> DataFrame:
         out = select.diagram_nodes(self.diff.merged, self.names)
@@ -95,7 +114,7 @@ class Model:
             for augmenter in ordered(self.plugins.augmenters):
                 if (more := augmenter.metadata(out)) is not None:
                     notes = _updated(notes, more)
-        return out.withColumn("augmentations", notes)
+        return self.diff.keep(out.withColumn("augmentations", notes))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -47,10 +47,12 @@ def test_operation(spark):
     new = snapshot_files(spark, a="class A\nclass B extends A", bad="?")
     got = json.loads(output.Operation(old, new, parse).result().first().json)
     assert got["compileWarnings"] == ["/bad.java"]
-    drawn = json.loads(got["diagrams"][0])
-    assert set(drawn) == {"packages", "size", "components", "relations", "changeSet", "compressedText"}
-    assert drawn["size"] == 2 and json.loads(drawn["changeSet"])["addedComponents"] == ["B"]
-    diagram = one(spark, codec.decompressed, drawn["compressedText"])
+    drawn = got["diagrams"][0]
+    assert set(drawn) == {"packages", "size", "components", "relations", "changeSet", "compressedSVG"}
+    assert all(isinstance(drawn[k], t) for k, t in (("packages", list), ("relations", dict), ("changeSet", dict), ("size", int), ("compressedSVG", str), ("components", list)))
+    assert drawn["relations"]["B"][0]["targetComponent"] == "A" and drawn["components"][0]["comment"] is None
+    assert drawn["size"] == 2 and drawn["changeSet"]["addedComponents"] == ["B"]
+    diagram = one(spark, codec.decompressed, drawn["compressedSVG"])
     assert diagram.startswith("@startuml\n") and '"B" --[#00cc00]--|>"A"' in diagram
     with pytest.raises(ValueError, match="gone.java"):
         output.Operation(old, new, parse, Config().with_files(["/gone.java"]))
@@ -163,9 +165,14 @@ def test_cap_and_placement(spark):
     m = model(spark, old=[], new=new)
     assert output.diagram_summary(m, Config(max_components=5)).first().drawn is False
     capped = json.loads(output.diagrams(m, Config(max_components=5)).first().json)
-    assert capped["size"] == 6 and "compressedText" not in capped and len(capped["components"]) == 6
-    assert "compressedText" not in json.loads(output.diagrams(m, Config(metadata_only=True)).first().json)
+    assert capped["size"] == 6 and capped["compressedSVG"] is None and len(capped["components"]) == 6
+    assert json.loads(output.diagrams(m, Config(metadata_only=True)).first().json)["compressedSVG"] is None
     assert output.diagram_summary(m, Config(placement=Placement.ONE_PER_GROUP)).count() == 2
+    alone = {r.diagram: json.loads(r.json) for r in output.diagrams(m, Config(placement=Placement.ONE_PER_GROUP)).collect()}
+    assert {k: (v["packages"], v["size"]) for k, v in alone.items()} == {p: ([p], 3) for p in "ab"}
+    for k, v in alone.items():
+        text = one(spark, codec.decompressed, v["compressedSVG"])
+        assert [x["uniqueName"] for x in v["components"]] == [f"{k}.X{i}" for i in range(3)] and text.count("namespace ") == 1 and f"namespace {k} " in text
 
 
 def test_same_inner_names_stay_apart(spark):
