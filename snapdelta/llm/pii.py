@@ -1,8 +1,10 @@
 """Operator 3, personal data: a linear-chain conditional random field over word-shape features.
 
-Tokens are cut at white space and reduced to a core without surrounding punctuation. A token's class is the set of its
-shape features (collapsed and full shape, digits, hexadecimal digits, dots, an at sign and what is around it, a few key
-words); the field scores a label from the classes of a token and of both its neighbours, and from the label before.
+Tokens are cut at white space and at quotes, brackets, commas, semicolons, colons, equals signs, ampersands, question
+marks and the full stops of other scripts, so that a span can begin or end at any of them; a name and the colon or
+equals sign behind it are one token. A token is reduced to a core without surrounding punctuation. Its class is the set
+of its shape features (collapsed and full shape, digits, hexadecimal digits, dots, an at sign and what is around it,
+octets in range, the check digit of card numbers, key words); the field scores a label from the classes of a token and of both its neighbours, and from the label before.
 Weights are trained in numpy, by gradient ascent on the penalised log-likelihood with forward-backward sums, from
 labelled_table(), a small table of made-up sentences in several layouts.
 
@@ -11,7 +13,9 @@ can make up for is outside in the best sequence whatever its neighbours are; suc
 segments, which are decoded exactly, all of a batch side by side. The best sequence is the one that decoding the whole
 text would give.
 
-Kinds: email, ip, card, phone, secret, ssn, iban. Defined results: null, empty and clean texts give no rows; a null
+Kinds: email, ip, card, phone, secret, ssn, iban. A number without a right check digit is no card, and a hash after a
+word such as commit or sha1 no secret; a hash alone is taken for one. Ties: of equal sequences the one whose labels come
+first in LABELS, from the end. Defined results: null, empty and clean texts give no rows; a null
 doc_id keeps its spans; repeated rows each have theirs; an empty table gives no rows; columns besides doc_id and text
 are ignored. Very long texts are decoded whole.
 """
@@ -34,10 +38,13 @@ LONG = {"card", "phone", "iban"}
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in ("BI" if k in LONG else "B")))
 MAX_TOKENS = 300_000
 SCHEMA = "doc_id bigint, start bigint, end bigint, kind string, surface string"
-SENTENCES = 600
-TOKEN = re.compile(r"\S+")
-EDGE = "\"'`<>[]{}|,;:!?#$%&*~=_“”«»"
-KEYWORDS = {"token", "key", "secret", "password", "passwd", "api_key", "apikey", "bearer", "ssn", "iban", "phone", "tel", "call", "card", "visa", "=", "+", "|"}
+SENTENCES = 900
+APART = "\\s\"`<>\\[\\]{}|,;:=&?\\\\“”„«»。，、；：！？「」（）"
+TOKEN = re.compile(rf"[^{APART}]+(?:[\"']?[ \t]?[=:]+)?|[|=]+")
+EDGE = "\"'`<>[]{}|,;:!?#$%&*~=_“”«» \t"
+SECRETS = ("token", "key", "secret", "password", "passwd", "api_key", "apikey", "bearer")
+HASHES = ("commit", "sha", "sha1", "sha256", "md5", "hash", "digest", "checksum", "revision", "etag")
+KEYWORDS = {*SECRETS, "ssn", "iban", "phone", "tel", "call", "card", "visa", "=", "+", "|"}
 
 
 def core(token: str) -> tuple[int, int]:
@@ -51,6 +58,8 @@ def core(token: str) -> tuple[int, int]:
             right -= 1
         if right > left and token[right - 1] == ".":
             right -= 1
+        if right > left + 1 and token[left] == "(" and token[right - 1] == ")" and not token[left + 1 : right - 1].isdigit():
+            left, right = left + 1, right - 1
         if right > left and token[left] == "(" and ")" not in token[left:right]:
             left += 1
         if right > left and token[right - 1] == ")" and "(" not in token[left:right]:
@@ -59,21 +68,34 @@ def core(token: str) -> tuple[int, int]:
             return before
 
 
+def luhn(digits: str) -> bool:
+    """Whether the last digit is right as the check digit of the others."""
+    values = [int(c) for c in reversed(digits)]
+    return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
+
+
+def _word(text: str) -> tuple[str, ...]:
+    if text in HASHES:
+        return ("word", "hashes")
+    return ("word", f"key={text}") if text in KEYWORDS else ("word",)
+
+
 def shape(token: str) -> tuple[str, ...]:
     """The features of a token's class."""
     if token.isalpha():
-        return ("word", f"key={token.lower()}") if token.lower() in KEYWORDS else ("word",)
+        return _word(token.lower())
     a, b = core(token)
     text = token[a:b].lower()
     if not text:
         return ("mark", f"key={token}") if token in KEYWORDS else ("mark",)
-    if text.isalpha():
-        return ("word", f"key={text}") if text in KEYWORDS else ("word",)
-    full = "".join("d" if c.isdigit() else "a" if c.isalpha() else c for c in text[:48])
+    given = ("given",) if token[-1] in "=:" else ()
+    if text.isalpha() or text in KEYWORDS:
+        if given and text in SECRETS:
+            return ("word", "secret-follows")
+        return (*_word(text), *given)
+    full = "".join("d" if c.isdigit() else "a" if c.isalpha() else c for c in text)
     digits = sum(c.isdigit() for c in text)
-    out = ["other", "short=" + re.sub(r"(.)\1+", r"\1+", full)[:24], f"digits={min(digits, 20)}", f"size={min(len(text).bit_length(), 8)}"]
-    if len(full) <= 20:
-        out.append("full=" + full)
+    out = ["other", "short=" + re.sub(r"(.)\1+", r"\1+", full), f"digits={min(digits, 20)}", f"size={min(len(text).bit_length(), 8)}", "full=" + full, *given]
     if re.fullmatch(r"[0-9a-f]{16,}", text) and digits and digits < len(text):
         out.append("hex")
     if re.fullmatch(r"[a-z0-9_\-]{16,}", text) and 3 < digits < len(text) - 3:
@@ -84,8 +106,10 @@ def shape(token: str) -> tuple[str, ...]:
         out.append("ip" if all(int(x) < 256 for x in text.split(".")) else "badip")
     if text.isdigit():
         out.append("number")
-        if 13 <= digits <= 19:
-            out.append("long-number")
+    if 13 <= digits <= 19 and re.fullmatch(r"[0-9]+(?:-[0-9]+)*", text):
+        out.append("checked-number" if luhn(text.replace("-", "")) else "long-number")
+    if re.fullmatch(r"(?:akia|asia)[0-9a-z]{16}|(?:ghp_|gho_|xox[abp]-|sk-)[0-9a-z_\-]{16,}", text):
+        out.append("secret-prefix")
     if re.fullmatch(r"[a-z]{2}\d{2}[a-z0-9]{10,30}", text):
         out.append("iban")
     return tuple(out)
@@ -103,14 +127,32 @@ def labelled_table(n: int = SENTENCES, seed: int = 11) -> list[tuple[str, list[t
         w = "".join(rng.choice(syllables, rng.integers(1, 5)))
         return w.capitalize() if rng.random() < 0.15 else w
 
+    def checked(k: int) -> str:
+        """A number whose last digit is right."""
+        first = number(k - 1)
+        return next(first + d for d in "0123456789" if luhn(first + d))
+
+    def unchecked(k: int) -> str:
+        first = number(k)
+        return first if not luhn(first) else first[:-1] + str((int(first[-1]) + 1) % 10)
+
     def hexa(k: int) -> str:
         return "".join(rng.choice(list("0123456789abcdef"), k))
 
     def plain() -> str:
-        pick = rng.integers(0, 16)
-        special = [number(rng.integers(1, 6)), f"{number(4)}-{number(2)}-{number(2)}", f"{number(1)}.{number(2)}", f"v{number(1)}.{number(1)}.{number(1)}", f"({number(4)})", f"{number(2)}:{number(2)}", f"{word()}-{word()}", f"{word()}{number(2)}", f"http://{word()}.example.org/{number(3)}", f"{number(3)},{number(3)}", f"@{word()}", f"{number(2)}%", f"#{number(3)}", "=", f"{number(3)}.{number(2)}.{number(4)}", f"{number(1)}/{number(2)}"]
+        pick = rng.integers(0, 19)
+        special = [number(rng.integers(1, 6)), f"{number(4)}-{number(2)}-{number(2)}", f"{number(1)}.{number(2)}", f"v{number(1)}.{number(1)}.{number(1)}", f"({number(4)})", f"{number(2)}:{number(2)}", f"{word()}-{word()}", f"{word()}{number(2)}", f"http://{word()}.example.org/{number(3)}", f"{number(3)},{number(3)}", f"@{word()}", f"{number(2)}%", f"#{number(3)}", "=", f"{number(3)}.{number(2)}.{number(4)}", f"{number(1)}/{number(2)}", unchecked(int(rng.integers(13, 20))), f"{word()}={number(2)}", f'{{"{word()}":"{word()}"}}']
         return special[pick]
 
+    def harmless() -> list[str]:
+        """What looks like personal data but for the words before it."""
+        key, value = str(rng.choice(SECRETS)), hexa(int(rng.choice([32, 40, 40, 64])))
+        return [[str(rng.choice(HASHES)), value], [f"{rng.choice(HASHES)}{'=:'[rng.integers(0, 2)]}{value}"], [f"{rng.choice(HASHES)}:", value], ["order", unchecked(16)], [f"{key}:", word()], [key, "=", word()], [key, word()]][rng.integers(0, 7)]
+
+    def value() -> str:
+        """A made-up password: letters, always with digits."""
+        return "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ!$*-_"), rng.integers(4, 12))) + number(rng.integers(1, 5)) + "".join(rng.choice(list("abcxyzQRS"), rng.integers(0, 4)))
+
     def item(kind: str) -> tuple[list[str], list[bool]]:
         """Tokens and which of them are the kind's."""
         one = rng.random()
@@ -120,44 +162,66 @@ def labelled_table(n: int = SENTENCES, seed: int = 11) -> list[tuple[str, list[t
         if kind == "ip":
             return [".".join(str(rng.integers(0, 256)) for _ in range(4))], [True]
         if kind == "card":
-            return ([number(4) for _ in range(4)], [True] * 4) if one < 0.3 else (["-".join(number(4) for _ in range(4))], [True]) if one < 0.45 else ([number(rng.choice([13, 15, 16, 16, 16, 16]))], [True])
+            digits = checked(16 if one < 0.45 else int(rng.choice([13, 15, 16, 16, 16, 16])))
+            fours = [digits[i : i + 4] for i in range(0, 16, 4)]
+            return (fours, [True] * 4) if one < 0.3 else (["-".join(fours)], [True]) if one < 0.45 else ([digits], [True])
         if kind == "phone":
             a, b, c = number(3), number(3), number(4)
             forms = [[f"+{number(rng.integers(1, 3))}", f"({a})", f"{b}-{c}"]] * 4 + [[f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{number(2)}", a, f"{b}{c}"], [f"+{number(1)}-{a}-{b}-{c}"], [f"+{number(11)}"]]
             made = forms[rng.integers(0, len(forms))]
             return made, [True] * len(made)
         if kind == "secret":
-            value = hexa(int(rng.choice([32, 40, 40, 64]))) if one < 0.7 else "sk-" + "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyz23456789"), 28))
-            return [([str(rng.choice(["token", "token", "api_key", "password", "secret"])), "=", f'"{value}"'], [False, False, True]), ([value], [True])][int(one > 0.85 and one < 0.95)]
+            made = hexa(int(rng.choice([32, 40, 40, 64]))) if one < 0.55 else value() if one < 0.75 else "sk-" + "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyz23456789"), 28))
+            if one > 0.95:
+                return ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))], [True]
+            if one > 0.85 or 0.45 < one < 0.55:
+                return [made], [True]
+            key = str(rng.choice(["token", "token", "api_key", "password", "secret", "passwd"]))
+            forms = [([key, "=", ("\"", made, "\"")], [False, False, True])] * 4 + [([(f"{key}=", made, "")], [True]), ([f"{key}:", made], [False, True]), ([(f'{{"{key}":"', made, '"}')], [True]), ([(f"{key}='", made, "'")], [True])]
+            return forms[rng.integers(0, len(forms))]
         if kind == "ssn":
             return [f"{number(3)}-{number(2)}-{number(4)}"], [True]
         code = "".join(rng.choice(list("ABCDEFGH"), 2)) + number(2)
         return ([code, *(number(4) for _ in range(4)), number(2)], [True] * 6) if one < 0.4 else ([code + number(18)], [True])
 
+    def wrapped(kind: str, made: str) -> tuple[str, str, str]:
+        """One token of a kind with what can stand around it without white space."""
+        name = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "ssn": "ssn", "iban": "iban"}[kind]
+        forms = [(f'{{"{name}":"', "\"}"), (f"{name}=", ""), (f"{name}:", ""), ("<", ">"), ("(", ")"), ("", "。"), ("", f",{word()}"), (f"{word()},", f";{word()}"), ("'", "'"), (f"{word()}=", f"&{word()}={number(2)}"), ("“", "”")]
+        forms += [("mailto:", ""), ("to:", ";cc"), ("mailto:", f"?{word()}={word()}")] * 2 if kind == "email" else [("", f":{number(4)}"), ("ip=", f":{number(2)}"), ("host:", f":{number(4)}")] * 2 if kind == "ip" else []
+        before, after = forms[rng.integers(0, len(forms))]
+        return before, made, after
+
     rows = []
     for _ in range(n):
-        tokens: list[tuple[str, str]] = []
+        tokens: list[tuple[str | tuple[str, str, str], str]] = []
         for _ in range(rng.integers(3, 16)):
             one = rng.random()
             if one < 0.16:
                 kind = KINDS[rng.choice(7, p=[0.2, 0.18, 0.18, 0.18, 0.14, 0.06, 0.06])]
                 made, own = item(kind)
+                if len(made) == 1 and kind != "secret" and rng.random() < 0.35:
+                    made = [wrapped(kind, made[0])]
                 tokens += [(t, f"{'B' if k == 0 or not own[k - 1] else 'I'}-{kind}" if own[k] else "O") for k, t in enumerate(made)]
+            elif one < 0.2:
+                tokens += [(t, "O") for t in harmless()]
             else:
-                tokens.append((plain() if one < 0.3 else word(), "O"))
+                tokens.append((plain() if one < 0.33 else word(), "O"))
         layout = rng.integers(0, 4)
         text, spans = "", []
         for i, (t, label) in enumerate(tokens):
+            before, own, after = t if isinstance(t, tuple) else ("", t, "")
             if layout == 1:
-                t = t.upper()
-            a, b = core(t) if label != "O" else (0, len(t))
+                before, own, after = before.upper(), own.upper(), after.upper()
+            a, b = core(own) if label != "O" else (0, len(own))
+            text += before
             if label[0] == "B":
                 spans.append((len(text) + a, len(text) + b, label[2:]))
             elif label[0] == "I":
                 spans[-1] = (spans[-1][0], len(text) + b, label[2:])
             inside = i + 1 < len(tokens) and tokens[i + 1][1][0] == "I"
             tail = " " if inside else ["", ",", ".", ""][rng.integers(0, 4)] * int(rng.random() < 0.3) + [" ", "!! ", str(rng.choice(["###", "$$$", "%%%", "***", "&&&"])) + " ", " | "][layout]
-            text += t + tail
+            text += own + after + tail
         rows.append((text.rstrip(), spans))
     return rows
 
@@ -185,7 +249,7 @@ def _labels(text: str, spans: list[tuple[int, int, str]]) -> list[int]:
         for start, end, kind in spans:
             a, b = core(m.group())
             if m.start() + a < end and m.start() + b > start and b > a:
-                label = ("B-" if start >= m.start() else "I-") + kind
+                label = ("B-" if start >= m.start() or kind not in LONG else "I-") + kind
         out.append(LABELS.index(label))
     return out
 
@@ -269,14 +333,17 @@ class Decoder:
         self.tables = [np.zeros((1, len(LABELS))) for _ in range(3)]
 
     def numbers(self, cut: list[str]) -> np.ndarray:
-        tokens, classes = self.tokens, self.classes
+        """The tokens' classes: features that the field doesn't know make no class of their own."""
+        tokens, classes, known = self.tokens, self.classes, self.field.features
+        fresh: list[np.ndarray] = []
         for t in set(cut).difference(tokens):
-            feats = shape(t)
+            feats = tuple(f for f in shape(t) if f in known)
             if (c := classes.get(feats)) is None:
                 c = classes[feats] = len(classes)
-                for j, row in enumerate(self.field.scores(feats)):
-                    self.tables[j] = np.concatenate([self.tables[j], row[None]])
+                fresh.append(self.field.scores(feats))
             tokens[t] = c
+        if fresh:
+            self.tables = [np.concatenate([table, [rows[j] for rows in fresh]]) for j, table in enumerate(self.tables)]
         return np.fromiter(map(tokens.__getitem__, cut), dtype=np.int64, count=len(cut))
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
