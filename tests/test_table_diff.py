@@ -57,3 +57,11 @@ def test_names_are_not_joined(spark, sf_dir, name, most):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most, plan
     assert "InMemoryTableScan" not in plan  # read once, not kept
+
+
+@pytest.mark.parametrize("name", ["change_set_json", "diagram_json"])
+def test_long_lists_are_sorted_without_a_comparator(spark, sf_dir, name):
+    """array_sort() calls a function for each comparison."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(collect_" in plan and "array_sort(collect_" not in plan
+    spark.catalog.clearCache()
