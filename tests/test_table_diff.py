@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapdelta.operators import merge
-from snapdelta.plans.diff import Diff
+from snapdelta.plans import render
+from snapdelta.plans.config import light_scheme
+from snapdelta.plans.diff import Diff, Model
 from snapdelta.plans.table_diff import TableDiff
 from snapdelta.queries import QUERIES
 from snapdelta.sources import tables
@@ -65,3 +67,45 @@ def test_long_lists_are_sorted_without_a_comparator(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert "sort_array(collect_" in plan and "array_sort(collect_" not in plan
     spark.catalog.clearCache()
+
+
+def test_edges_beside_their_reverse_equal_the_joined_ones(spark, odd):
+    for strict in (False, True):
+        whole, by_row = Diff(*tables.snapshots(spark, odd), strict_types=strict), TableDiff(spark, odd, strict_types=strict)
+        expected = rows(whole.paired)
+        assert any("NONE" not in x for x in expected) and any("'added'" in x for x in expected) and any("'deleted'" in x for x in expected)
+        assert rows(by_row.paired) == expected == rows(TableDiff(spark, odd, strict_types=strict, shared=False).paired)
+    spark.catalog.clearCache()
+
+
+def moved(plan):
+    """Hash exchanges outside the tables that are kept."""
+    found, inside = 0, None
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        inside = None if inside is not None and depth <= inside else inside
+        inside = depth if inside is None and "InMemoryRelation" in line else inside
+        found += inside is None and "Exchange hashpartitioning" in line
+    return found
+
+
+def test_edges_are_moved_to_their_ends_only(spark, sf_dir):
+    """Edges to their source and to their target, and nodes twice; all kept tables are read where they lie."""
+    plan = QUERIES["edge_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert moved(plan) <= 4, plan
+    spark.catalog.clearCache()
+
+
+def test_a_text_in_rows_is_whole_and_in_order(spark, odd, monkeypatch):
+    (expected,) = [r.diagram for r in render.documents(Model(Diff(*tables.snapshots(spark, odd))), light_scheme()).collect()]
+    assert [r.diagram for r in QUERIES["diagram_text"](spark, odd).collect()] == [expected]
+    monkeypatch.setattr(render, "PIECE", 1000, raising=False)
+    monkeypatch.setattr(render, "TOGETHER", 100, raising=False)
+    got = [r.diagram for r in QUERIES["diagram_text"](spark, odd).collect()]
+    assert len(got) > 10 and "".join(got) == expected
+    longest = max(len(x.encode()) for x in got)
+    assert longest < 3000, longest  # a class's block or the opening may be longer than a piece, and is a row alone
+    kept = render.pieces(Model(TableDiff(spark, odd)), light_scheme())
+    parts = sorted((r.part, r.place, r.diagram) for r in kept.collect())
+    assert "".join(x[2] for x in parts) == expected and len({x[:2] for x in parts}) == len(parts) and parts[-1][0] > 0
+    spark.catalog.clearCache()
